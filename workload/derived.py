@@ -7,6 +7,8 @@ same rules in SQL.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ from segtrans.operators.layout import Layout
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table; its footer is read once per session, not per use."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -95,8 +95,8 @@ def is_translatable(spark, sf):
     turn = F.col("c_custkey") % 4
     value = (
         F.when(turn == 0, F.lit(None).cast("string"))
-        .when(turn == 1, F.concat(F.lit(" 　"), "c_name", F.lit("\t")))
-        .when(turn == 2, F.lit(" \n")).otherwise(F.col("c_name"))
+        .when(turn == 1, F.concat(F.lit("\u00a0\u3000"), "c_name", F.lit("\t")))
+        .when(turn == 2, F.lit("\u2003\n")).otherwise(F.col("c_name"))
     )
     return d.table(spark, sf, "customer").select("c_custkey", value.alias("v")).select(
         "c_custkey", text.is_translatable("v").alias("ok"), text.strip_key("v").alias("stripped"))
