@@ -24,6 +24,8 @@ LINE = [*PAGE, "block_idx", "line_idx"]
 # A rule is flat below this, and underlines spans closer than that.
 FLAT_BELOW = 2
 UNDERLINE_WITHIN = 6
+# On large pages boxes are met by bands of the page this many points high.
+BAND = 64
 
 
 @dataclass(frozen=True)
@@ -123,66 +125,100 @@ def underlined_spans(spans: DataFrame, rules: DataFrame, large: DataFrame | None
 # --------------------------------------------------------------------- lines
 
 
-def assemble_lines(spans: DataFrame) -> DataFrame:
-    """One row per visual line that has text.
+TABLE = ["table_idx", "n_rows", "n_cols"]
 
-    ``line`` is its non-blank spans, stripped, one space between. Style is that
-    of the longest span, the first of them on a tie. ``first_box`` is the box of
-    the first span, blank or not. The grouping key is the line; a line is one
-    text value, so its spans are no larger than that.
+
+def _assemble(spans: DataFrame, key: list[str]) -> DataFrame:
+    """One row per ``key``: spans in order, their text, the style of the longest.
+
+    The key holds the line; a line is one text value, so what is collected for it
+    is no larger than that.
     """
-    text = strip_key("text")
-    live = text != ""
-    piece = F.struct(
-        F.col("span_idx"), text.alias("text"), "is_bold", "is_italic", "is_underline", "fontsize"
-    )
+    # Stripped below the aggregation, so once per span and not once per use.
+    spans = spans.withColumn("text", strip_key("text"))
+    live = F.col("text") != ""
+    piece = F.struct("span_idx", "text", "is_bold", "is_italic", "is_underline", "fontsize")
     style = F.struct("is_bold", "is_italic", "is_underline", "fontsize")
-    extra = page_key(spans)[len(PAGE):]
-    lines = spans.groupBy(*extra, *LINE).agg(
+    return spans.groupBy(*key).agg(
         F.min_by(F.struct("x0", "y0", "x1", "y1"), F.col("span_idx")).alias("first_box"),
         F.min("line_y0").alias("y_top"),
         F.min("block_x0").alias("x0"),
         F.array_sort(F.collect_list(F.when(live, piece))).alias("spans"),
         F.max_by(
             F.when(live, style),
-            F.when(live, F.struct(F.length(text), -F.col("span_idx"))),
+            F.when(live, F.struct(F.length("text"), -F.col("span_idx"))),
         ).alias("dominant"),
-    )
-    return lines.where(F.size("spans") > 0).select(
-        *extra, *LINE, "y_top", "x0", "first_box", "spans",
+    ).select(
+        *key, "y_top", "x0", "first_box", "spans",
         F.array_join(F.transform("spans", lambda s: s["text"]), " ").alias("line"),
         "dominant.*",
     )
 
 
+def assemble_lines(spans: DataFrame) -> DataFrame:
+    """One row per visual line that has text.
+
+    ``line`` is its non-blank spans, stripped, one space between. Style is that
+    of the longest span, the first of them on a tie. ``first_box`` is the box of
+    the first span, blank or not.
+    """
+    key = [*page_key(spans)[len(PAGE):], *LINE]
+    return _assemble(spans, key).where(F.size("spans") > 0)
+
+
+def assemble_blocks(spans: DataFrame, tables: DataFrame) -> DataFrame:
+    """Lines and table blocks together, partitioned by page.
+
+    The few table rows join the spans before these are shuffled, so that the one
+    shuffle by page serves lines, table boxes and page order.
+    """
+    if "salt" in spans.columns:
+        tables = tables.withColumn("salt", F.lit(0))
+    rows = spans.unionByName(tables.withColumnRenamed("y_top", "line_y0"), allowMissingColumns=True)
+    key = page_key(spans)
+    blocks = _assemble(rows.repartition(*key), [*key, "block_idx", "line_idx", *TABLE])
+    text = F.col("table_idx").isNull()
+    return (
+        blocks.where(~text | (F.size("spans") > 0))
+        .withColumns({
+            "type": F.when(text, F.lit("text")).otherwise(F.lit("table")),
+            "spans": F.when(text, F.col("spans")), "line": F.when(text, F.col("line")),
+        })
+    )
+
+
 def dominant_span(spans: DataFrame) -> DataFrame:
     """``(line key, span_idx, text, ...)`` of the longest span of each line."""
-    text = strip_key("text")
-    rest = [c for c in spans.columns if c not in LINE and c != "text"]
-    best = F.max_by(
-        F.struct(*rest, text.alias("text")), F.struct(F.length(text), -F.col("span_idx"))
-    )
-    return spans.where(text != "").groupBy(*LINE).agg(best.alias("best")).select(*LINE, "best.*")
+    rest = [c for c in spans.columns if c not in LINE]
+    best = F.max_by(F.struct(*rest), F.struct(F.length("text"), -F.col("span_idx")))
+    spans = spans.withColumn("text", strip_key("text"))
+    return spans.where(F.col("text") != "").groupBy(*LINE).agg(best.alias("best")).select(*LINE, "best.*")
 
 
 def drop_text_in_tables(lines: DataFrame, boxes: DataFrame, large: DataFrame | None = None,
                         rows: int = GROUP_ROWS) -> DataFrame:
-    """Lines whose first span is not centred in a table box of the page."""
+    """Lines whose first span is not centred in a table box of the page.
+
+    The match is by page; with large pages also by salt and by a horizontal band,
+    so that a line is held only against the boxes at its height.
+    """
     own = "salt" in lines.columns
     if not own:
         lines = salt_lines(lines, large, rows)
-    box = repeat_per_salt(
-        boxes.select(
-            *PAGE, F.col("x0").alias("bx0"), F.col("y0").alias("by0"),
-            F.col("x1").alias("bx1"), F.col("y1").alias("by1"),
-        ).distinct(), large, rows,
-    ).alias("box")
-    line = lines.alias("line")
+    box = boxes.select(
+        *PAGE, F.col("x0").alias("bx0"), F.col("y0").alias("by0"),
+        F.col("x1").alias("bx1"), F.col("y1").alias("by1"),
+    )
     cx = (F.col("line.first_box.x0") + F.col("line.first_box.x1")) / 2
     cy = (F.col("line.first_box.y0") + F.col("line.first_box.y1")) / 2
     same_page = F.lit(True)
     for name in page_key(lines):
         same_page = same_page & (F.col(f"line.{name}") == F.col(f"box.{name}"))
+    if large is not None:
+        bands = F.sequence(F.floor(F.col("by0") / BAND), F.floor(F.col("by1") / BAND))
+        box = repeat_per_salt(box.where("by0 <= by1").withColumn("band", F.explode(bands)), large, rows)
+        same_page = same_page & (F.floor(cy / BAND) == F.col("box.band"))
+    box, line = box.alias("box"), lines.alias("line")
     inside = cx.between(F.col("bx0"), F.col("bx1")) & cy.between(F.col("by0"), F.col("by1"))
     left = line.join(box, same_page & inside, "left_anti")
     return left if own else left.drop("salt")
@@ -238,6 +274,12 @@ def reading_order(blocks: DataFrame, large: DataFrame | None = None) -> DataFram
     return number_rows(blocks, PAGE, order, "seq", large)
 
 
+def large_pages(layout: Layout, page_rows: int = GROUP_ROWS) -> DataFrame | None:
+    """Pages with more spans, or more tables, than one task should take."""
+    spans = text_spans(layout.spans).select(*PAGE)
+    return large_groups(spans.unionAll(layout.table_boxes.select(*PAGE)), PAGE, page_rows)
+
+
 def extract_blocks(layout: Layout, page_rows: int = GROUP_ROWS, detect_large: bool = True) -> DataFrame:
     """All blocks of all pages in reading order.
 
@@ -245,12 +287,12 @@ def extract_blocks(layout: Layout, page_rows: int = GROUP_ROWS, detect_large: bo
     where lines, table boxes and page order all meet without moving again.
     """
     spans = text_spans(layout.spans)
-    large = large_groups(spans, PAGE, page_rows) if detect_large else None
+    large = large_pages(layout, page_rows) if detect_large else None
     styled = underlined_spans(
         salt_lines(span_style(spans), large, page_rows), horizontal_rules(layout.drawings),
         large, page_rows,
     )
-    paged = styled.repartition(*page_key(styled))
-    lines = drop_text_in_tables(assemble_lines(paged), layout.table_boxes, large, page_rows)
-    tables = table_blocks(layout.table_boxes, layout.table_cells).repartition(*PAGE)
-    return reading_order(merge_blocks(lines.drop("salt"), tables), large)
+    blocks = assemble_blocks(styled, table_blocks(layout.table_boxes, layout.table_cells))
+    # A table block has no first box, so it is in no table.
+    kept = drop_text_in_tables(blocks, layout.table_boxes, large, page_rows)
+    return reading_order(kept.drop("salt", "first_box"), large)

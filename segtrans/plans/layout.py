@@ -15,7 +15,7 @@ from ..functions.text import escape_markup, is_translatable, strip_key
 from ..operators.backends import Backend, make_backend
 from ..operators.layout import GROUP_ROWS, PAGE, Layout, clean_table_cells, extract_blocks
 from ..operators.memory import TranslationMemory, apply_lookup, translate_segments
-from ..operators.ranking import number_rows
+from ..operators.ranking import large_groups, number_rows
 from ..operators.segments import count_segments, with_pair
 from ..session import new_work_dir
 
@@ -160,14 +160,16 @@ def text_lines(translated: TranslatedLayout) -> DataFrame:
 
 
 def reassemble_text(translated: TranslatedLayout, lines_per_part: int = LINES_PER_PART,
-                    large: DataFrame | None = None) -> DataFrame:
+                    page_rows: int = GROUP_ROWS, detect_large: bool = True) -> DataFrame:
     """``(doc_id, page_idx, part, text)``: each page as text in reading order.
 
     A page of more lines than ``lines_per_part`` comes in several consecutive
     parts, so no row and no group outgrows a task.
     """
+    lines = text_lines(translated)
+    large = large_groups(lines, PAGE, page_rows) if detect_large else None
     lines = number_rows(
-        text_lines(translated), PAGE, [F.col("seq"), F.col("row_idx")], "_line", large
+        lines, PAGE, [F.col("seq"), F.col("row_idx")], "_line", large
     ).withColumn("part", F.floor(F.col("_line") / lines_per_part).cast("int"))
     ordered = F.array_sort(F.collect_list(F.struct("_line", "text")))
     return lines.groupBy(*PAGE, "part").agg(

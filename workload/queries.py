@@ -127,7 +127,7 @@ def _line_segments(spark, sf):
 
 def memory_build(spark, sf):
     memory = mem.TranslationMemory(spark, new_work_dir(spark, "memory"))
-    mem.translate_segments(_line_segments(spark, sf), MOCK, memory, slices=2)
+    mem.translate_segments(_line_segments(spark, sf), MOCK, memory)
     return memory.read("mock").select("segment", "translation")
 
 
@@ -364,7 +364,7 @@ def empty_pages(spark, sf):
 
 
 def reflow_plan(spark, sf):
-    return plan.reflow_plan(_translated(spark, sf)).drop("x0", "n_rows", "col_width")
+    return plan.reflow_plan(_translated(spark, sf, dedup=True)).drop("x0", "n_rows", "col_width")
 
 
 def reflow_cells(spark, sf):
@@ -372,7 +372,7 @@ def reflow_cells(spark, sf):
 
 
 def reassemble_text(spark, sf):
-    return plan.reassemble_text(_translated(spark, sf), lines_per_part=8)
+    return plan.reassemble_text(_translated(spark, sf, dedup=True), lines_per_part=8)
 
 
 # --------------------------------------------------------------------- files
