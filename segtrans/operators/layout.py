@@ -126,6 +126,9 @@ def underlined_spans(spans: DataFrame, rules: DataFrame, large: DataFrame | None
 
 
 TABLE = ["table_idx", "n_rows", "n_cols"]
+STYLE = ["is_bold", "is_italic", "is_underline", "fontsize"]
+PIECE = ["span_idx", "text", *STYLE]
+PLACE = ["x0", "y0", "x1", "y1", "line_y0", "block_x0"]
 
 
 def _assemble(spans: DataFrame, key: list[str]) -> DataFrame:
@@ -134,24 +137,27 @@ def _assemble(spans: DataFrame, key: list[str]) -> DataFrame:
     The key holds the line; a line is one text value, so what is collected for it
     is no larger than that.
     """
-    # Stripped below the aggregation, so once per span and not once per use.
+    # Stripped below the aggregation: once per span. Spans are collected once and
+    # the rest is read off the array, which costs half of separate aggregates.
     spans = spans.withColumn("text", strip_key("text"))
-    live = F.col("text") != ""
-    piece = F.struct("span_idx", "text", "is_bold", "is_italic", "is_underline", "fontsize")
-    style = F.struct("is_bold", "is_italic", "is_underline", "fontsize")
-    return spans.groupBy(*key).agg(
-        F.min_by(F.struct("x0", "y0", "x1", "y1"), F.col("span_idx")).alias("first_box"),
-        F.min("line_y0").alias("y_top"),
-        F.min("block_x0").alias("x0"),
-        F.array_sort(F.collect_list(F.when(live, piece))).alias("spans"),
-        F.max_by(
-            F.when(live, style),
-            F.when(live, F.struct(F.length("text"), -F.col("span_idx"))),
-        ).alias("dominant"),
-    ).select(
-        *key, "y_top", "x0", "first_box", "spans",
-        F.array_join(F.transform("spans", lambda s: s["text"]), " ").alias("line"),
-        "dominant.*",
+    grouped = spans.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct(*PIECE, *PLACE))).alias("all")
+    )
+    live = F.filter("all", lambda s: s["text"] != "")
+    pieces = F.transform(live, lambda s: F.struct(*[s[c].alias(c) for c in PIECE]))
+    lengths = F.transform("spans", lambda s: F.length(s["text"]))
+    # array_position finds the first of equals, as a tie requires.
+    longest = (F.array_position("lengths", F.array_max("lengths")) - 1).cast("int")
+    return (
+        grouped.select(*key, F.col("all")[0].alias("first"), pieces.alias("spans"))
+        .withColumn("lengths", lengths)
+        .withColumn("dominant", F.get("spans", longest))
+        .select(
+            *key, F.col("first.line_y0").alias("y_top"), F.col("first.block_x0").alias("x0"),
+            F.struct("first.x0", "first.y0", "first.x1", "first.y1").alias("first_box"), "spans",
+            F.array_join(F.col("spans").getField("text"), " ").alias("line"),
+            *[f"dominant.{c}" for c in STYLE],
+        )
     )
 
 

@@ -18,10 +18,12 @@ def large_groups(df: DataFrame, group: list[str], rows: int = GROUP_ROWS) -> Dat
     than (all rows / limit) such groups; the answer is held as that small table.
     """
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > rows)
+    if sizes.isEmpty():
+        return None
+    # Written, because several joins will ask for it.
     path = new_work_dir(df.sparkSession, "large-groups")
     sizes.write.parquet(path)
-    found = df.sparkSession.read.schema(sizes.schema).parquet(path)
-    return None if found.isEmpty() else found
+    return df.sparkSession.read.schema(sizes.schema).parquet(path)
 
 
 def _row_number(df: DataFrame, group: list[str], order: list, out: str) -> DataFrame:

@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = get_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g",
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
            "spark.ui.showConsoleProgress": "false"},
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -2,7 +2,8 @@
 
 Document lines become page lines, ", "-separated pieces become spans or runs, and
 positions, fonts and boxes follow from the row numbers. ``oracle`` states the
-same rules in SQL.
+same rules in SQL. Layout and run tables are stored once per session, as the
+output of an extractor would be; queries start from the stored tables.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segtrans.operators.layout import Layout
+from segtrans.session import new_work_dir
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -23,6 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(build):
+    """Write what ``build(spark, sf_dir)`` gives on first use, and read it from then on."""
+
+    @lru_cache(maxsize=64)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = build(spark, sf_dir)
+        path = new_work_dir(spark, build.__name__)
+        # The base tables are one row group each here; spread the work.
+        made.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        return spark.read.schema(made.schema).parquet(path)
+
+    return read
+
+
 def document_lines(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
@@ -42,6 +58,7 @@ def pieces(spark, sf_dir) -> DataFrame:
     )
 
 
+@stored
 def spans(spark, sf_dir) -> DataFrame:
     d, line, span = F.col("doc_id"), F.col("line_idx"), F.col("span_idx")
     total = d + line + span
@@ -68,6 +85,7 @@ def spans(spark, sf_dir) -> DataFrame:
     )
 
 
+@stored
 def layout_pages(spark, sf_dir) -> DataFrame:
     """Pages 0 to the page of the last line, straight from the line count."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +96,7 @@ def layout_pages(spark, sf_dir) -> DataFrame:
     )
 
 
+@stored
 def table_boxes(spark, sf_dir) -> DataFrame:
     pages = layout_pages(spark, sf_dir)
     return pages.where((F.col("doc_id") + F.col("page_idx")) % 3 == 0).select(
@@ -86,6 +105,7 @@ def table_boxes(spark, sf_dir) -> DataFrame:
     )
 
 
+@stored
 def table_cells(spark, sf_dir) -> DataFrame:
     d, row, col = F.col("doc_id"), F.col("row_idx"), F.col("col_idx")
     number = ((d * row + col) % 11).cast("string")
@@ -98,6 +118,7 @@ def table_cells(spark, sf_dir) -> DataFrame:
     )
 
 
+@stored
 def drawings(spark, sf_dir) -> DataFrame:
     n = F.col("path_idx")
     y1 = 52.0 + n * 120 + (F.col("doc_id") % 2) * 0.5
@@ -120,6 +141,7 @@ def layout(spark, sf_dir) -> Layout:
     )
 
 
+@stored
 def runs(spark, sf_dir) -> DataFrame:
     """Run table; paragraphs with ``line_idx % 7 = 3`` sit in table cells."""
     line = F.col("line_idx")
