@@ -226,9 +226,10 @@ def run_backend(segments: DataFrame, backend: Backend, parallel_calls: int | Non
     """Translate each row of ``(src_lang, tgt_lang, segment, ...)`` once.
 
     A column backend stays in the JVM. For any other, ``parallel_calls`` is the
-    number of partitions and so the ceiling on concurrent calls; partitioning is
-    by the text, hence the same after a retry, and even because texts are
-    distinct.
+    number of partitions and so the ceiling on concurrent calls (by default the
+    cores of the cluster: left alone, partitions would be merged by their few
+    bytes, and calls would queue up). Partitioning is by the text, hence the same
+    after a retry, and even because texts are distinct.
     """
     text, src, tgt = F.col("segment"), F.col("src_lang"), F.col("tgt_lang")
     expr = backend.as_column(text, src, tgt)
@@ -239,8 +240,8 @@ def run_backend(segments: DataFrame, backend: Backend, parallel_calls: int | Non
             F.lit(None).cast("string").alias("error"),
         )
 
-    if parallel_calls:
-        segments = segments.repartition(parallel_calls, "src_lang", "tgt_lang", "segment")
+    calls = parallel_calls or segments.sparkSession.sparkContext.defaultParallelism
+    segments = segments.repartition(calls, "src_lang", "tgt_lang", "segment")
 
     def translate(batches: Iterator) -> Iterator:
         for pdf in batches:

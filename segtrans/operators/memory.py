@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -42,17 +44,29 @@ class TranslationMemory:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def exists(self) -> bool:
+        return path_exists(self.spark, self.path)
+
     def _rows(self, backend: str | None) -> DataFrame:
-        if path_exists(self.spark, self.path):
+        if self.exists():
             rows = self.spark.read.schema(MEMORY_SCHEMA).parquet(self.path)
         else:
             rows = self.spark.createDataFrame([], MEMORY_SCHEMA)
         return rows.where(F.col("backend") == backend) if backend else rows
 
-    def read(self, backend: str | None = None, before_batch: str | None = None) -> DataFrame:
-        """Good translations; ``before_batch`` leaves that batch's own rows out."""
+    def read(self, backend: str | None = None, before_batch: str | None = None,
+             pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+        """Good translations; ``before_batch`` leaves that batch's own rows out.
+
+        Backend, directions and batch are partitions, so only those are listed.
+        """
         rows = self._rows(backend).where(F.col("status") == OK)
-        return rows.where(F.col("batch_id") != before_batch) if before_batch else rows
+        if before_batch:
+            rows = rows.where(F.col("batch_id") != before_batch)
+        if pairs:
+            same = [(F.col("src_lang") == s) & (F.col("tgt_lang") == t) for s, t in pairs]
+            rows = rows.where(reduce(or_, same))
+        return rows
 
     def failures(self, batch_id: str | None = None) -> DataFrame:
         rows = self._rows(None).where(F.col("status") != OK)
@@ -141,6 +155,7 @@ def translate_segments(
     parallel_calls: int | None = None,
     slices: int = 1,
     batch_id: str | None = None,
+    pairs: list[tuple[str, str]] | None = None,
 ) -> Lookup:
     """Translate ``(src_lang, tgt_lang, segment, uses)`` and return the run's lookup.
 
@@ -148,6 +163,7 @@ def translate_segments(
     backend would call it again for every action and every lost executor. With a
     memory, only new texts are sent; ``slices`` > 1 sends them in that many
     separately committed batches, so a lost run resumes after its last batch.
+    ``pairs`` names the directions, where known, so that no others are read.
     """
     if on_error not in ("fail", "source"):
         raise ValueError(f"on_error must be 'fail' or 'source', not {on_error!r}")
@@ -178,13 +194,15 @@ def translate_segments(
     small = sized.get["bytes"] <= BROADCAST_BYTES
     written = spark.read.schema(with_int(segments.schema, "slice")).parquet(f"{work}/segments")
     batch_id = batch_id or f"run-{run_id()}"
+    fresh = not memory.exists()
     calls = 0
     for number in range(slices if sized.get["rows"] else 0):
         batch = f"{batch_id}-{number:05d}"
-        todo = new_segments(
-            written.where(F.col("slice") == number).drop("slice"),
-            memory.read(backend.name, before_batch=batch), segments_are_small=small,
-        )
+        todo = written.where(F.col("slice") == number).drop("slice")
+        if not fresh:
+            todo = new_segments(
+                todo, memory.read(backend.name, batch, pairs), segments_are_small=small
+            )
         made = Observation(f"calls-{run_id()}")
         memory.write_batch(
             run_backend(todo, backend, parallel_calls).observe(made, F.count(F.lit(1)).alias("n")),
@@ -193,8 +211,8 @@ def translate_segments(
         calls += made.get["n"]
 
     texts = written.drop("slice")
-    known = memory.read(backend.name)
-    if small:
+    known = memory.read(backend.name, pairs=pairs)
+    if small and not fresh:
         known = known.join(F.broadcast(texts.select(*SEGMENT_KEY)), SEGMENT_KEY, "left_semi")
     result = texts.join(one_per_key(known), SEGMENT_KEY, "left")
     df, seen = _write_measured(result, f"{work}/lookup")

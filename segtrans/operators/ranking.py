@@ -15,7 +15,8 @@ def large_groups(df: DataFrame, group: list[str], rows: int = GROUP_ROWS) -> Dat
     """``(group, n_rows)`` of the groups over the limit, or None if there are none.
 
     Reads the group columns only and counts before the shuffle. There are fewer
-    than (all rows / limit) such groups; the answer is held as that small table.
+    than (all rows / limit) such groups, so 500,000 short rows at 10**12: small
+    enough to broadcast, which is what the callers do with it.
     """
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > rows)
     if sizes.isEmpty():

@@ -70,7 +70,7 @@ def translate_layout(
     blocks.write.parquet(path)
     blocks = spark.read.schema(blocks.schema).parquet(path)
     segments = with_pair(distinct_layout_segments(blocks, cells), src, tgt)
-    lookup = translate_segments(segments, backend, memory, on_error, **run)
+    lookup = translate_segments(segments, backend, memory, on_error, pairs=[(src, tgt)], **run)
     return TranslatedLayout(
         apply_lookup(blocks, "line", lookup, key=line_key, out="translation"),
         apply_lookup(cells, "cell", lookup, key=cell_key, out="translation"),

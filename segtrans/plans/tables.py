@@ -42,6 +42,7 @@ def table_lookup(df: DataFrame, src: str, tgt: str, columns: list[str], backend:
                  unit: str = "cell", **run) -> Lookup:
     """Distinct texts of the columns, translated and written."""
     segments = with_pair(distinct_segments(df, columns), src, tgt)
+    run["pairs"] = [(src, tgt)]
     if unit == "sentence":
         return translate_by_sentence(segments, backend, **run)
     if unit != "cell":
@@ -121,7 +122,7 @@ def translate_pairs(
     df = _cast(df, columns)
     pair = F.explode(pair_structs(pairs)).alias("pair")
     segments = distinct_segments(df, columns).select("*", pair).select("pair.*", "segment", "uses")
-    lookup = translate_segments(segments, backend, memory, on_error, **run)
+    lookup = translate_segments(segments, backend, memory, on_error, pairs=pairs, **run)
     wide = df.select(pair, *[ident(c) for c in df.columns]).select(
         "pair.*", *[ident(c) for c in df.columns]
     )

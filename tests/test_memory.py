@@ -176,3 +176,20 @@ def test_backend_must_answer_every_text(spark, df):
 
     with pytest.raises(Exception, match="another number of results"):
         translate_table(df, "en", "ne", backend=Short())
+
+
+def test_only_the_direction_asked_for_is_read(spark, df, tmp_path):
+    memory = mem.TranslationMemory(spark, str(tmp_path / "memory"))
+    translate_pairs(df, [("en", "ne"), ("en", "tmg"), ("ne", "en")], memory=memory)
+    rows = memory.read("mock", pairs=[("en", "ne")])
+    assert rows.count() == 3 and len(rows.inputFiles()) >= 1
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "src_lang" in plan.split("PartitionFilters")[1]
+
+
+def test_calls_are_spread_over_the_cores(spark, strings):
+    from segtrans.operators.backends import run_backend
+
+    texts = with_pair(distinct_segments(strings([str(i) for i in range(200)]), ["v"]), "en", "ne")
+    assert run_backend(texts, Counting(spark)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert run_backend(texts, Counting(spark), parallel_calls=3).rdd.getNumPartitions() == 3
