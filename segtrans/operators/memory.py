@@ -125,7 +125,7 @@ class Lookup:
         return self.df.where(F.coalesce(F.col("status"), F.lit("missing")) != OK)
 
 
-def _write_measured(df: DataFrame, path: str) -> tuple[DataFrame, dict]:
+def write_measured(df: DataFrame, path: str) -> tuple[DataFrame, dict]:
     """Write and, in the same job, count rows and bytes of what is written."""
     seen = Observation(f"lookup-{run_id()}")
     size = F.octet_length("segment") + F.coalesce(F.octet_length("translation"), F.lit(0))
@@ -174,7 +174,7 @@ def translate_segments(
 
     if memory is None:
         results = run_backend(segments, backend, parallel_calls)
-        df, seen = _write_measured(results, f"{work}/lookup")
+        df, seen = write_measured(results, f"{work}/lookup")
         lookup = Lookup(df, calls=seen["rows"], **seen)
         _stop_on_failures(lookup, on_error)
         return lookup
@@ -215,7 +215,7 @@ def translate_segments(
     if small and not fresh:
         known = known.join(F.broadcast(texts.select(*SEGMENT_KEY)), SEGMENT_KEY, "left_semi")
     result = texts.join(one_per_key(known), SEGMENT_KEY, "left")
-    df, seen = _write_measured(result, f"{work}/lookup")
+    df, seen = write_measured(result, f"{work}/lookup")
     lookup = Lookup(df, calls=calls, **seen)
     if lookup.failed:
         reasons = memory.failures().where(F.col("batch_id").startswith(batch_id))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import new_work_dir, with_int
@@ -11,14 +11,17 @@ from ..session import new_work_dir, with_int
 GROUP_ROWS = 2_000_000
 
 
-def large_groups(df: DataFrame, group: list[str], rows: int = GROUP_ROWS) -> DataFrame | None:
+def large_groups(df: DataFrame, group: list[str], rows: int = GROUP_ROWS,
+                 weight: Column | None = None) -> DataFrame | None:
     """``(group, n_rows)`` of the groups over the limit, or None if there are none.
 
     Reads the group columns only and counts before the shuffle. There are fewer
     than (all rows / limit) such groups, so 500,000 short rows at 10**12: small
-    enough to broadcast, which is what the callers do with it.
+    enough to broadcast, which is what the callers do with it. ``weight`` is for
+    rows that each stand for several.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > rows)
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    sizes = df.groupBy(*group).agg(size.alias("n_rows")).where(F.col("n_rows") > rows)
     if sizes.isEmpty():
         return None
     # Written, because several joins will ask for it.

@@ -167,7 +167,10 @@ def reassemble_text(translated: TranslatedLayout, lines_per_part: int = LINES_PE
     parts, so no row and no group outgrows a task.
     """
     lines = text_lines(translated)
-    large = large_groups(lines, PAGE, page_rows) if detect_large else None
+    large = None
+    if detect_large:
+        per_block = F.coalesce(F.col("n_rows"), F.lit(1))
+        large = large_groups(translated.blocks, PAGE, page_rows, per_block)
     lines = number_rows(
         lines, PAGE, [F.col("seq"), F.col("row_idx")], "_line", large
     ).withColumn("part", F.floor(F.col("_line") / lines_per_part).cast("int"))

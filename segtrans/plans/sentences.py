@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_translatable, sentence_array, separator_array
 from ..operators.backends import OK, Backend
-from ..operators.memory import Lookup, _write_measured, apply_lookup, translate_segments
+from ..operators.memory import Lookup, write_measured, apply_lookup, translate_segments
 from ..operators.segments import SEGMENT_KEY
 from ..session import new_work_dir
 
@@ -62,5 +62,5 @@ def translate_by_sentence(segments: DataFrame, backend: Backend, memory=None,
         F.lit(OK).alias("status"), F.lit(1).alias("attempts"),
         F.lit(None).cast("string").alias("error"),
     )
-    df, seen = _write_measured(result, f"{work}/lookup")
+    df, seen = write_measured(result, f"{work}/lookup")
     return Lookup(df, calls=lookup.calls, **seen)

@@ -28,7 +28,7 @@ def text_columns(df: DataFrame, columns=None, cast_non_string: bool = False) ->
     return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
 
 
-def _cast(df: DataFrame, columns: list[str]) -> DataFrame:
+def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns to translate as strings; string columns are left alone."""
     types = {f.name: f.dataType for f in df.schema.fields}
     if all(isinstance(types[c], StringType) for c in columns):
@@ -84,7 +84,7 @@ def translate_table(
     check_pair(src, tgt)
     backend = make_backend(backend)
     columns = text_columns(df, columns, cast_non_string)
-    df = _cast(df, columns)
+    df = as_text(df, columns)
     if not columns:
         return df
     is_expression = backend.as_column(F.lit(""), F.lit(src), F.lit(tgt)) is not None
@@ -119,7 +119,7 @@ def translate_pairs(
     pairs = check_pairs(pairs)
     backend = make_backend(backend)
     columns = text_columns(df, columns, cast_non_string)
-    df = _cast(df, columns)
+    df = as_text(df, columns)
     pair = F.explode(pair_structs(pairs)).alias("pair")
     segments = distinct_segments(df, columns).select("*", pair).select("pair.*", "segment", "uses")
     lookup = translate_segments(segments, backend, memory, on_error, pairs=pairs, **run)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.langs import check_pair
 from ..operators.backends import Backend, make_backend
 from ..operators.memory import TranslationMemory, apply_lookup
-from ..plans.tables import _cast, table_lookup, text_columns
+from ..plans.tables import as_text, table_lookup, text_columns
 
 BATCH = "batch_id"
 
@@ -43,7 +43,7 @@ def stream_translate(
     columns = text_columns(stream, columns)
 
     def translate_batch(batch: DataFrame, number: int) -> None:
-        rows = _cast(batch, columns)
+        rows = as_text(batch, columns)
         lookup = table_lookup(
             rows, src, tgt, columns, backend, memory=memory, on_error=on_error,
             batch_id=f"{name}-{number:010d}", **run,
