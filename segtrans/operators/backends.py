@@ -209,7 +209,6 @@ class HttpBackend(Backend):
         ]
 
 
-
 def make_backend(backend: str | Backend = "mock") -> Backend:
     if isinstance(backend, Backend):
         return backend
