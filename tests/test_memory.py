@@ -193,3 +193,14 @@ def test_calls_are_spread_over_the_cores(spark, strings):
     texts = with_pair(distinct_segments(strings([str(i) for i in range(200)]), ["v"]), "en", "ne")
     assert run_backend(texts, Counting(spark)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert run_backend(texts, Counting(spark), parallel_calls=3).rdd.getNumPartitions() == 3
+
+
+@pytest.mark.parametrize("values", [[], ["", " ", None]])
+def test_nothing_to_translate(spark, strings, tmp_path, values):
+    memory = mem.TranslationMemory(spark, str(tmp_path / "memory"))
+    df = strings(values)
+    for options in ({}, {"memory": memory}, {"memory": memory}, {"unit": "sentence"}):
+        out = translate_table(df, "en", "ne", dedup=True, **options)
+        assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    assert memory.read().count() == 0
+    assert table_metrics(df).first().texts == 0

@@ -107,3 +107,12 @@ def test_languages(spark):
             check_pair(*bad)
     with pytest.raises(LanguageError):
         check_pairs([])
+
+
+def test_preview_of_table_rows(spark):
+    from segtrans.operators.preview import PREVIEW_AFTER, preview, preview_line
+
+    df = spark.range(20).select((F.col("id") % 2).alias("doc"), "id", F.lit(None).cast("string").alias("t"))
+    rows = preview(df, ["doc"], ["id"], PREVIEW_AFTER["csv"]).select("doc", "n_shown", preview_line(["id", "t"]).alias("line"))
+    got = sorted((r.doc, r.n_shown, r.line) for r in rows.collect())
+    assert got == [(d, n, f"{(n - 1) * 2 + d} | ") for d in (0, 1) for n in (1, 2, 3, 4)]
