@@ -9,6 +9,7 @@ from ..session import new_work_dir
 
 # White space is the six ASCII characters; everything between is a word.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,9 @@ def text_of(col: str = "text") -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """The words of a text, not null; splitting is twice as fast as extracting them."""
+    bare = F.btrim(text, F.lit(SPACES))
+    return F.when(F.length(bare) > 0, F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
 def n_words(text: Column) -> Column:

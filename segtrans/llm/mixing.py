@@ -10,6 +10,8 @@ indices, one per pass over the source, and blocks are joined by index.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ WEIGHTS = (5, 2, 1)  # by source name, repeating
 MOST = 3  # a target never exceeds this many times its source
 ROUNDS = 16  # of the permutation
 CHUNK = 1 << 14  # slots made from one row
+TASK_SLOTS = 1 << 16  # and from one task's rows, about
 
 
 def permuted(x: Column, size: Column, *seed: Column) -> Column:
@@ -135,7 +138,9 @@ def draw_slots(sources: DataFrame, seed: int, shard_slots: int) -> DataFrame:
         .select("source", "slots", "blocks", "first", "total",
                 F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long"))).alias("low"))
     )
-    chunks = chunks.repartition("source", "low")
+    # By number, or the few narrow chunks would be put in one task again.
+    tasks = math.ceil((sources.agg(F.sum("slots")).first()[0] or 1) / TASK_SLOTS)
+    chunks = chunks.repartition(tasks, "source", "low")
     numbered = chunks.select(
         "source", "blocks", "first", "total",
         F.explode(F.sequence(F.col("low"), F.least(F.col("low") + CHUNK, F.col("slots")) - 1)).alias("j"),
@@ -168,8 +173,9 @@ def mix(docs: DataFrame, block: int = 64, weights: tuple[int, ...] = WEIGHTS, se
         F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("block"),
     )
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))  # null sources join too
+    # Spark takes the size of exploded rows for that of their source: no broadcast may come of it.
     pieces = touched.withColumn("key", key).join(
-        taken.withColumn("key", key).select("key", "block", "times"), ["key", "block"])
+        taken.withColumn("key", key).select("key", "block", "times").hint("merge"), ["key", "block"])
     low = F.greatest(F.col("block") * block, F.col("start"))
     high = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
     piece = F.struct((low - F.col("start")).alias("from_word"), (high - low).alias("n"), F.col("times"))
@@ -177,7 +183,7 @@ def mix(docs: DataFrame, block: int = 64, weights: tuple[int, ...] = WEIGHTS, se
         F.sum((high - low) * F.col("times")).alias("taken"), F.sort_array(F.collect_list(piece)).alias("pieces"))
     # A row without words may share its start with the row after it.
     doc_key = F.when(F.col("size") > 0, key)
-    return placed.withColumn("key", doc_key).join(per_doc, ["key", "start"], "left").select(
+    return placed.withColumn("key", doc_key).join(per_doc.hint("merge"), ["key", "start"], "left").select(
         "doc_id", "source", "tie", "size", "source_size", "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces",
     )

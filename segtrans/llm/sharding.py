@@ -36,10 +36,11 @@ class _Cut:
     def range(self):
         return self.fixed, self.low, self.bits
 
-    def narrow(self, histogram: dict[int, tuple[int, int]], bits: int, tolerance: float) -> None:
+    def narrow(self, histogram: dict[int, tuple], bits: int, tolerance: float) -> None:
         """Take the nearest probe if it is near enough, else close in on the bin around the cut.
 
-        ``histogram``: (bytes, rows) by bin. A bin of one row can't be split further.
+        ``histogram``: (bytes, rows, least and greatest of this and the next key
+        parts) by bin. A bin of one row can't be split further.
         """
         width = 1 << (self.bits - bits)
         bins = sorted(histogram)
@@ -47,14 +48,18 @@ class _Cut:
         at = min(int(np.searchsorted(ends, self.want)), len(bins) - 1)
         below = int(ends[at - 1]) if at else self.base
         near, bound = min((abs(below - self.want), bins[at]), (abs(int(ends[at]) - self.want), bins[at] + 1))
-        last = histogram[bins[at]][1] == 1 or len(self.fixed) == len(KEYS) - 1 and width == 1
+        last = histogram[bins[at]][1] == 1
         if near <= tolerance or last:
             self.key = self._key(bound * width)
-        elif width > 1:
-            self.low, self.bits, self.base = bins[at] * width, self.bits - bits, below
         else:
-            self.fixed, self.base = (*self.fixed, bins[at]), below
-            self.low, self.bits = LOW, DOMAIN_BITS
+            self.base = below
+            for low, high in histogram[bins[at]][2]:
+                if low < high:
+                    break
+                self.fixed = (*self.fixed, low)
+            # The smallest range of a power of two that holds what is left.
+            self.bits = DOMAIN_BITS if low < 0 <= high else (low ^ high).bit_length()
+            self.low = LOW if self.bits == DOMAIN_BITS else low >> self.bits << self.bits
 
     def _key(self, value: int) -> tuple[int, ...]:
         # Past the end of one part means past all its rows: the next value of the part before.
@@ -87,12 +92,15 @@ def find_cuts(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
             counted = (
                 keys.where(within)
                 .groupBy(*KEYS[:level], prefix.alias("prefix"), F.shiftright(key, bits - step).alias("bin"))
-                .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
+                .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"),
+                     *(f(k).alias(f"{f.__name__}_{k}") for k in KEYS[level:] for f in (F.min, F.max)))
+                .collect()
             )
-            seen: dict[tuple, dict[int, tuple[int, int]]] = {}
+            seen: dict[tuple, dict[int, tuple]] = {}
             for row in counted:
                 at = tuple(row[k] for k in KEYS[:level]), row["prefix"]
-                seen.setdefault(at, {})[row["bin"]] = row["bytes"], row["n"]
+                seen.setdefault(at, {})[row["bin"]] = (
+                    row["bytes"], row["n"], [(row[f"min_{k}"], row[f"max_{k}"]) for k in KEYS[level:]])
             for c in group:
                 at = c.fixed, 0 if bits == DOMAIN_BITS else c.low >> bits
                 c.narrow(seen[at], step, tolerance)
