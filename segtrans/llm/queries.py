@@ -9,7 +9,9 @@ from .decontaminate import leaks
 from .html_text import extract_pages
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .ngram_trie import score_texts
 from .packing import pack_tokens
+from .passages import repeated_passages
 from .quality import judge
 from .secrets import find_secrets, joined
 from .sharding import histogram_sort
@@ -46,6 +48,10 @@ def op5_ngram_likelihood_ratio(spark, sf_dir):
                          "base_failed", "kept", "score")
 
 
+def op6_elias_fano_trie(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,7 +72,13 @@ def op9_randomness_battery(spark, sf_dir):
         joined(F.sort_array(F.concat(base, added))).alias("spans"))
 
 
+def op10_sparse_suffix_array(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_packing, op2_composite_text_density,
                                    op3_template_decontamination, op4_histogram_sort,
-                                   op5_ngram_likelihood_ratio, op7_mixing,
-                                   op8_minhash_near_dedup, op9_randomness_battery)}
+                                   op5_ngram_likelihood_ratio, op6_elias_fano_trie,
+                                   op7_mixing,
+                                   op8_minhash_near_dedup, op9_randomness_battery,
+                                   op10_sparse_suffix_array)}
