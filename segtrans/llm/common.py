@@ -35,3 +35,13 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """``df``, with its columns worked out once, before any filter on them.
+
+    A filter would be pushed into the projections below, and their array
+    functions evaluated once for each element that refers to them. Nothing is
+    pushed below the output of a generator.
+    """
+    return df.select(F.inline_outer(F.array(F.struct(*(df[c] for c in df.columns)))))

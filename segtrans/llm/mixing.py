@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import WORD, n_words, written
 
 WEIGHTS = (5, 2, 1)  # by source name, repeating
 MOST = 3  # a target never exceeds this many times its source
@@ -76,6 +76,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     )
 
 
+def row_key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"], docs["source"], docs["text"])
+
+
 def sized(docs: DataFrame, seed: int, order_buckets: int) -> DataFrame:
     """Narrow rows, written once: the texts are read here and nowhere else."""
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
@@ -83,7 +87,7 @@ def sized(docs: DataFrame, seed: int, order_buckets: int) -> DataFrame:
         docs.select(
             F.col("doc_id"), F.col("source").cast("string").alias("source"),
             F.coalesce(n_words(F.col("text")), F.lit(0)).alias("size"),
-            order.alias("at"), F.xxhash64("text").alias("tie"),
+            order.alias("at"), row_key(docs).alias("tie"),
         ).withColumn("bucket", F.floor(F.col("at") / 2.0**64 * order_buckets + order_buckets / 2).cast("int")),
         "mixing",
     )
@@ -157,9 +161,9 @@ def mix(docs: DataFrame, block: int = 64, weights: tuple[int, ...] = WEIGHTS, se
         shard_slots: int = 1 << 16, order_buckets: int = 1024) -> DataFrame:
     """What the mixture takes of every row of ``docs(doc_id, source, text)``.
 
-    ``(doc_id, source, tie, size, source_size, target, taken, pieces)``: size in
-    words (null text: 0), taken in words with repeats, and pieces as an array of
-    ``(from_word, n, times)``. Reruns agree: every choice is a hash of seed,
+    ``(doc_id, source, tie, size, source_size, target, taken, pieces)``: a hash of
+    id, source and text, the size in words (null text: 0), the words taken with
+    repeats, and pieces as an array of ``(from_word, n, times)``. Reruns agree: every choice is a hash of seed,
     source, id and index. Rows equal in every used column are interchangeable;
     a row without words takes nothing. An empty table gives no rows. Choose
     ``block`` as the sequence length in training, but well under the words of
@@ -187,3 +191,35 @@ def mix(docs: DataFrame, block: int = 64, weights: tuple[int, ...] = WEIGHTS, se
         "doc_id", "source", "tie", "size", "source_size", "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces",
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mixture as documents, with the columns of ``docs``.
+
+    A document comes once for each time it is taken, its text cut to the words
+    taken that time; a gap between them becomes a line break, and ``n_chars``,
+    if there is such a column, is the new length. What is not taken, such as
+    texts without words, is gone.
+    """
+    taken = mix(docs, **options).where("taken > 0").groupBy("tie").agg(F.flatten(F.collect_list("pieces")).alias("pieces"))
+    rows = docs.select(row_key(docs).alias("tie"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    # Rows that agree in id, source and text share their pieces.
+    placed = rows.join(taken.hint("merge"), "tie").dropDuplicates(["tie"])
+    each = placed.select("doc", "pieces", F.explode(F.sequence(
+        F.lit(1), F.array_max(F.transform("pieces", lambda p: p["times"])).cast("int"))).alias("nth"))
+    cut = each.select(
+        "doc", F.filter("pieces", lambda p: p["times"] >= F.col("nth")).alias("pieces"),
+        F.regexp_extract_all("doc.text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)).alias("w"))
+    pieces, w = F.col("pieces"), F.col("w")
+
+    def text_of_piece(p: Column, i: Column) -> Column:
+        before = F.get(pieces, i - 1)
+        gap = (i > 0) & (before["from_word"] + before["n"] != p["from_word"])
+        part = F.array_join(F.slice(w, (p["from_word"] + 1).cast("int"), p["n"].cast("int")), "")
+        return F.when(gap, F.concat(F.lit("\n"), part)).otherwise(part)
+
+    whole = F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + p["n"]) == F.size(w)
+    text = F.when(whole, F.col("doc.text")).otherwise(F.array_join(F.transform(pieces, text_of_piece), ""))
+    mixed = cut.select("doc", text.alias("new"))
+    new = {"text": F.col("new"), "n_chars": F.length("new").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return mixed.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))

@@ -243,3 +243,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
         F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """``docs`` with one document of each group, that of the least id; all columns as they are.
+
+    Rows with a null id, and texts without words, all stay.
+    """
+    dropped = written(
+        near_duplicates(docs, k, threshold).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct(),
+        "near-dropped")
+    few = dropped.count() <= SMALL
+    return docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
