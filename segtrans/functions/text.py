@@ -85,6 +85,11 @@ def separator_array(c) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(rf"(?<=[{SENTENCE_END}])(\s+)"), F.lit(1))
 
 
+def sentence_pieces(c) -> Column:
+    """Sentences with the white space after each, as one array of structs."""
+    return F.arrays_zip(sentence_array(c).alias("sentence"), separator_array(c).alias("separator"))
+
+
 def segment_hash(c) -> Column:
     """64-bit companion of a text join key: cheap to compare, not a key itself."""
     return F.xxhash64(_col(c))

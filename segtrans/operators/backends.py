@@ -6,12 +6,14 @@ the JVM, or takes batches of texts inside Python workers (``translate_batch``).
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,7 @@ OK = "ok"
 FAILED = "failed"
 API_ERROR = "api_error"
 
+TASKS_PER_CORE = 4  # where calls run in threads
 RESULT_SCHEMA = "translation string, status string, attempts int, error string"
 
 
@@ -91,7 +94,7 @@ def with_retry(call: Callable[[], str], policy: RetryPolicy = RetryPolicy(),
         except ApiError as exc:
             return Result(None, API_ERROR, attempt, str(exc))
         except Retryable as exc:
-            error = f"{exc} on attempt {attempt}"
+            error = str(exc)
             sleep(policy.wait(attempt))
     return Result(None, FAILED, policy.attempts, error)
 
@@ -123,6 +126,8 @@ def urllib_transport(url: str, payload: dict, headers: dict, timeout: float) ->
         return HttpReply(exc.code, exc.read().decode(errors="replace"))
     except TimeoutError as exc:
         raise TransportTimeout(str(exc)) from exc
+    except (http.client.HTTPException, UnicodeDecodeError) as exc:
+        raise TransportError(f"broken reply: {exc!r}") from exc
     except OSError as exc:
         if isinstance(getattr(exc, "reason", None), TimeoutError):
             raise TransportTimeout(str(exc)) from exc
@@ -132,25 +137,32 @@ def urllib_transport(url: str, payload: dict, headers: dict, timeout: float) ->
 # Statuses always worth another attempt, marker of a good reply.
 RETRY_STATUSES = (429, 503)
 SUCCESS = "SUCCESS"
+NOT_TEXT = "refused: the output is not text"
 REPLY_SCHEMA = "message_type string, output string, message string"
 
 
 def parse_reply(body: str) -> str:
     data = json.loads(body)
     if data.get("message_type") != SUCCESS:
-        raise ApiError(f"API error: {data.get('message', 'Unknown error')}")
+        raise ApiError(f"refused: {data.get('message') or 'no reason given'}")
+    if not isinstance(data["output"], str):
+        raise ApiError(NOT_TEXT)
     return data["output"]
 
 
 def parse_response(body: Column) -> Column:
     """Logged reply bodies to ``(translation, status, error)``, as a column."""
     reply = F.from_json(body, REPLY_SCHEMA)
-    good = F.coalesce(reply["message_type"] == SUCCESS, F.lit(False))
-    message = F.coalesce(reply["message"], F.lit("Unknown error"))
+    success = F.coalesce(reply["message_type"] == SUCCESS, F.lit(False))
+    # A number is read as its digits; only a quoted value is text.
+    is_text = F.coalesce(body.rlike(r'"output"\s*:\s*"'), F.lit(False))
+    good = success & is_text
+    message = F.coalesce(reply["message"], F.lit("no reason given"))
     return F.struct(
         F.when(good, reply["output"]).alias("translation"),
         F.when(good, F.lit(OK)).otherwise(F.lit(API_ERROR)).alias("status"),
-        F.when(~good, F.concat(F.lit("API error: "), message)).alias("error"),
+        F.when(success & ~is_text, F.lit(NOT_TEXT))
+        .when(~success, F.concat(F.lit("refused: "), message)).alias("error"),
     )
 
 
@@ -225,10 +237,11 @@ def run_backend(segments: DataFrame, backend: Backend, parallel_calls: int | Non
     """Translate each row of ``(src_lang, tgt_lang, segment, ...)`` once.
 
     A column backend stays in the JVM. For any other, ``parallel_calls`` is the
-    number of partitions and so the ceiling on concurrent calls (by default the
-    cores of the cluster: left alone, partitions would be merged by their few
-    bytes, and calls would queue up). Partitioning is by the text, hence the same
-    after a retry, and even because texts are distinct.
+    ceiling on concurrent calls (by default the cores of the cluster). Beyond the
+    cores each task keeps several calls going in threads; partitions are then
+    several to a core, so a lost task repeats a small part of the calls. Below,
+    the number of partitions is the ceiling. Partitioning is by the text, hence
+    the same after a retry, and even because texts are distinct.
     """
     text, src, tgt = F.col("segment"), F.col("src_lang"), F.col("tgt_lang")
     expr = backend.as_column(text, src, tgt)
@@ -239,10 +252,25 @@ def run_backend(segments: DataFrame, backend: Backend, parallel_calls: int | Non
             F.lit(None).cast("string").alias("error"),
         )
 
-    calls = parallel_calls or segments.sparkSession.sparkContext.defaultParallelism
-    segments = segments.repartition(calls, "src_lang", "tgt_lang", "segment")
+    cores = segments.sparkSession.sparkContext.defaultParallelism
+    ceiling = parallel_calls or cores
+    threads = max(1, ceiling // cores)
+    tasks = ceiling if ceiling <= cores else cores * TASKS_PER_CORE
+    segments = segments.repartition(tasks, "src_lang", "tgt_lang", "segment")
+
+    def in_threads(pool: ThreadPoolExecutor, texts: list[str], src: str, tgt: str) -> list[Result]:
+        share = -(-len(texts) // threads)
+        parts = [texts[at:at + share] for at in range(0, len(texts), share)]
+        done = list(pool.map(lambda part: backend.translate_batch(part, src, tgt), parts))
+        if any(len(d) != len(p) for d, p in zip(done, parts, strict=True)):
+            raise RuntimeError("backend returned another number of results than texts")
+        return [result for part in done for result in part]
 
     def translate(batches: Iterator) -> Iterator:
+        with ThreadPoolExecutor(threads) as pool:
+            yield from translate_with(pool, batches)
+
+    def translate_with(pool: ThreadPoolExecutor, batches: Iterator) -> Iterator:
         for pdf in batches:
             out: list[Result | None] = [None] * len(pdf)
             for (s, t), rows in pdf.reset_index(drop=True).groupby(["src_lang", "tgt_lang"]).groups.items():
@@ -250,10 +278,7 @@ def run_backend(segments: DataFrame, backend: Backend, parallel_calls: int | Non
                 for at in range(0, len(rows), batch_size):
                     part = rows[at:at + batch_size]
                     texts = pdf["segment"].iloc[part].tolist()
-                    results = backend.translate_batch(texts, s, t)
-                    if len(results) != len(texts):
-                        raise RuntimeError("backend returned another number of results than texts")
-                    for pos, result in zip(part, results):
+                    for pos, result in zip(part, in_threads(pool, texts, s, t)):
                         out[pos] = result
             yield pdf.assign(
                 translation=[r.translation for r in out],

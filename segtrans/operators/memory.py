@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ident, segment_hash
+from ..functions.text import ident, is_translatable, segment_hash
 from ..session import new_work_dir, path_exists, run_id, with_int
 from .backends import OK, Backend, run_backend
 from .segments import SEGMENT_KEY, new_segments
@@ -20,6 +20,7 @@ BROADCAST_BYTES = 64 << 20
 # A text filling more cells than this (or than 1/HOT_SHARE of all) is hot.
 HOT_ROWS = 1_000_000
 HOT_SHARE = 100_000
+ROW = "_row"
 
 MEMORY_SCHEMA = (
     "segment string, translation string, status string, attempts int, error string, "
@@ -218,7 +219,9 @@ def translate_segments(
     df, seen = write_measured(result, f"{work}/lookup")
     lookup = Lookup(df, calls=calls, **seen)
     if lookup.failed:
-        reasons = memory.failures().where(F.col("batch_id").startswith(batch_id))
+        mine = [f"{batch_id}-{number:05d}" for number in range(slices)]
+        reasons = memory.failures().where(
+            (F.col("backend") == backend.name) & F.col("batch_id").isin(mine))
         failed = lookup.df.select(*SEGMENT_KEY, "uses", "translation").join(
             reasons.select(*SEGMENT_KEY, "status", "attempts", "error"), SEGMENT_KEY, "left"
         )
@@ -324,6 +327,48 @@ def apply_lookup(
     ).select(*order)
 
 
+def apply_lookup_columns(
+    df: DataFrame,
+    columns: list[str],
+    lookup: Lookup,
+    *,
+    pair_columns: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Replace several columns by their translations; the table is shuffled once at most.
+
+    A small lookup is broadcast, to each column in place. Beyond, the table is
+    written once with a number for each row; only (row, column, text) goes
+    through the join with the lookup, and what it finds comes back as one map
+    per row. Two exchanges, whatever the number of columns.
+    """
+    if lookup.bytes <= broadcast_bytes or len(columns) < 2:
+        options = {"pair_columns": pair_columns, "broadcast_bytes": broadcast_bytes, "hot_rows": hot_rows}
+        return reduce(lambda d, c: apply_lookup(d, c, lookup, **options), columns, df)
+    spark = df.sparkSession
+    path = new_work_dir(spark, "rows")
+    # Written, because a row's number must be the same in both readings.
+    df.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.schema(df.withColumn(ROW, F.lit(0).cast("long")).schema).parquet(path)
+    pair = ["src_lang", "tgt_lang"] if pair_columns else []
+    cells = rows.select(
+        ROW, *pair, F.posexplode(F.array(*[ident(c) for c in columns])).alias("_column", "_text")
+    ).where(is_translatable("_text"))
+    found = apply_lookup(cells, "_text", lookup, out="_found", pair_columns=pair_columns,
+                         keep_source=False, broadcast_bytes=broadcast_bytes, hot_rows=hot_rows)
+    per_row = (
+        found.where("_found is not null").groupBy(ROW)
+        .agg(F.map_from_entries(F.collect_list(F.struct("_column", "_found"))).alias("_new"))
+    )
+    joined = rows.join(per_row, ROW, "left")
+    place = {c: i for i, c in enumerate(columns)}
+    return joined.select(*[
+        F.coalesce(F.element_at("_new", F.lit(place[c])), ident(c)).alias(c) if c in place else ident(c)
+        for c in df.columns
+    ])
+
+
 def apply_memory(df: DataFrame, column: str, memory: DataFrame, out: str | None = None) -> DataFrame:
     """Plain map-back against any ``(segment, translation)`` table with unique segments.
 

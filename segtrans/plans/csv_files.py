@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.files import MAX_FILE_BYTES, base_name, output_name
 from ..functions.langs import check_pair
+from ..functions.text import ident
 from ..operators.backends import Backend, make_backend
-from ..operators.memory import BROADCAST_BYTES, TranslationMemory, apply_lookup
+from ..operators.memory import TranslationMemory, apply_lookup_columns
+from ..operators.segments import cells_of, count_segments
 from ..sinks.csv import write_csv_bom
-from ..sources.csv import DOC, POS, read_csv_cells
-from .tables import table_lookup
+from ..sources.csv import DOC, EXTRA, FILE_FIELDS, POS, column_names, csv_headers, read_csv_group
+from ..sources.files import (
+    REJECTED, accepted_files, common_folder, decoded_path, describe_files, rejected_files, relative_output,
+)
+from .tables import segment_lookup
 
-FILE = "file"
+OUTPUT = "_output"
+NO_ROWS = "no rows"
+LONG_ROW = "a row longer than its header"
 
 
 def translate_csv_files(
@@ -28,29 +34,65 @@ def translate_csv_files(
     backend: str | Backend = "mock",
     memory: TranslationMemory | None = None,
     on_error: str = "fail",
-    max_bytes: int | None = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     multi_line: bool = True,
     unit: str = "cell",
     mode: str = "errorifexists",
     **run,
 ) -> str:
-    """Translate every cell; headers stay. Result: ``out_dir/file=<output name>/part-*.csv``.
+    """Translate every cell; headers stay. Result: ``out_dir/_output=<name>/part-*.csv``.
 
-    A text is translated once for the whole folder. Rows keep their order: where
-    the table was never shuffled they still have it, else they are ranged by
-    file and position, which spreads even a single huge file over many tasks.
+    The name is the input's path below the folder all inputs share. Every file
+    keeps its own header: files are read in groups of one header (so many jobs
+    as there are different headers), and a text is translated once for all of
+    them. Rows are ranged by file and position, so they keep their order and
+    even a single huge file is spread over many tasks. What is not translated
+    is listed in ``out_dir/_rejected`` as ``(path, reason, row)``: files that
+    are no CSV, too large where a limit is set, or without rows, and rows longer
+    than their header. Short rows are filled up.
     """
     check_pair(src, tgt)
     backend = make_backend(backend)
-    df = read_csv_cells(
-        spark, path, multi_line=multi_line, with_position=True, max_bytes=max_bytes
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        .select(F.col("_metadata.file_path").alias("uri"), "length")
+        .withColumn("path", decoded_path(F.col("uri")))
     )
-    columns = [c for c in df.columns if c not in (DOC, POS)]
-    lookup = table_lookup(df, src, tgt, columns, backend, unit, memory=memory,
-                          on_error=on_error, **run)
-    done = reduce(lambda d, c: apply_lookup(d, c, lookup), columns, df)
-    done = done.withColumn(FILE, output_name(base_name(F.col(DOC)), F.lit(".csv"), tgt))
-    if lookup.bytes > BROADCAST_BYTES:
-        done = done.repartitionByRange(FILE, POS)
-    done = done.sortWithinPartitions(FILE, POS).drop(DOC, POS)
-    return write_csv_bom(done, out_dir, partition_by=[FILE], mode=mode)
+    files = describe_files(listed)
+    # File names come to the driver, as for any read of a folder.
+    good = {r.uri: r.path for r in accepted_files(files, max_bytes, ".csv").select("uri", "path").collect()}
+    empty: list[tuple[str, str, str | None]] = []
+    groups: dict[str, list[str]] = {}
+    if good:
+        heads = {r.path: r for r in csv_headers(spark, list(good.values())).collect()}
+        for uri, name in good.items():
+            if uri not in heads or heads[uri].lines < 2:
+                empty.append((name, NO_ROWS, None))
+            else:
+                groups.setdefault(heads[uri].header, []).append(name)
+    tables: list[tuple[list[str], DataFrame]] = []
+    for header, paths in groups.items():
+        names = column_names(header)
+        if OUTPUT in names:
+            raise ValueError(f"rename this column, its name is reserved: {OUTPUT}")
+        tables.append((names, read_csv_group(spark, paths, names, multi_line)))
+    rejects = rejected_files(files, max_bytes, ".csv").select(
+        "path", "reason", F.lit(None).cast("string").alias("row"))
+    rejects = rejects.union(spark.createDataFrame(empty, rejects.schema))
+    if tables:
+        root = common_folder(list(good.values()))
+        rows = [(names, table.where(F.col(EXTRA).isNull())) for names, table in tables]
+        cells = reduce(DataFrame.union, [cells_of(table, names) for names, table in rows])
+        lookup = segment_lookup(count_segments(cells), src, tgt, backend, unit, memory=memory,
+                                on_error=on_error, **run)
+        for number, (names, table) in enumerate(rows):
+            done = apply_lookup_columns(table, names, lookup)
+            done = done.withColumn(OUTPUT, relative_output(decoded_path(F.col(DOC)), root, ".csv", tgt))
+            done = done.repartitionByRange(OUTPUT, POS).sortWithinPartitions(OUTPUT, POS).drop(*FILE_FIELDS)
+            write_csv_bom(done, out_dir, partition_by=[OUTPUT], mode="append" if number else mode)
+        for names, table in tables:
+            long = table.where(F.col(EXTRA).isNotNull())
+            rejects = rejects.union(long.select(
+                decoded_path(F.col(DOC)), F.lit(LONG_ROW), F.to_json(F.array(*map(ident, names), F.col(EXTRA)))))
+    rejects.write.mode("overwrite").parquet(f"{out_dir}/{REJECTED}")
+    return out_dir

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_translatable, sentence_array, separator_array
+from ..functions.text import is_translatable, sentence_pieces
 from ..operators.backends import OK, Backend
 from ..operators.memory import Lookup, write_measured, apply_lookup, translate_segments
 from ..operators.segments import SEGMENT_KEY
@@ -18,14 +18,14 @@ def sentence_segments(df: DataFrame, column: str, *keep: str) -> DataFrame:
     ``separator`` is the white space that followed, so that joining sentences and
     separators in order gives the text back to the letter.
     """
+    # One array per text, below the explode: the text is searched once, whatever
+    # its number of sentences. (An inner explode would search it again for a filter.)
     pieces = df.select(
-        *keep,
-        F.posexplode(sentence_array(column)).alias("sentence_idx", "sentence"),
-        separator_array(column).alias("_separators"),
+        *keep, F.posexplode_outer(sentence_pieces(column)).alias("sentence_idx", "_piece")
     )
-    return pieces.select(
-        *keep, "sentence_idx", "sentence",
-        F.coalesce(F.get("_separators", F.col("sentence_idx")), F.lit("")).alias("separator"),
+    return pieces.where("_piece is not null").select(
+        *keep, "sentence_idx", F.col("_piece.sentence").alias("sentence"),
+        F.coalesce("_piece.separator", F.lit("")).alias("separator"),
     )
 
 
@@ -33,6 +33,9 @@ def translate_by_sentence(segments: DataFrame, backend: Backend, memory=None,
                           on_error: str = "fail", **run) -> Lookup:
     """Lookup of whole texts, made from the translations of their sentences.
 
+    A text has the worst status of its sentences, with that sentence's error, and
+    the most attempts any of them took.
+
     Works on distinct texts only. Each gets an id that is written before it is
     used, so sentences travel with eight bytes instead of the text around them.
     """
@@ -57,10 +60,24 @@ def translate_by_sentence(segments: DataFrame, backend: Backend, memory=None,
             F.transform(ordered, lambda s: F.concat(s["sentence"], s["separator"])), ""
         ).alias("translation")
     )
-    result = texts.join(whole, "text_id", "left").select(
+    outcome = F.coalesce("status", F.lit("missing"))
+    eventful = lookup.df.where((outcome != OK) | (F.col("attempts") > 1)).select(
+        "src_lang", "tgt_lang", F.col("segment").alias("sentence"),
+        outcome.alias("status"), "attempts", "error",
+    )
+    # A failure sorts before a success, and the earliest failed sentence counts.
+    worst = F.min(F.struct(
+        (F.col("status") == OK).alias("fine"), F.col("sentence_idx"), F.col("status"), F.col("error")))
+    events = (
+        pieces.select("text_id", "src_lang", "tgt_lang", "sentence_idx", "sentence")
+        .join(eventful, ["src_lang", "tgt_lang", "sentence"])
+        .groupBy("text_id").agg(worst.alias("worst"), F.max("attempts").alias("most"))
+    )
+    result = texts.join(whole, "text_id", "left").join(events, "text_id", "left").select(
         *SEGMENT_KEY, "uses", "translation",
-        F.lit(OK).alias("status"), F.lit(1).alias("attempts"),
-        F.lit(None).cast("string").alias("error"),
+        F.coalesce("worst.status", F.lit(OK)).alias("status"),
+        F.coalesce("most", F.lit(1)).alias("attempts"),
+        F.col("worst.error").alias("error"),
     )
     df, seen = write_measured(result, f"{work}/lookup")
     return Lookup(df, calls=lookup.calls, **seen)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -11,7 +9,7 @@ from pyspark.sql.types import StringType
 from ..functions.langs import check_pair, check_pairs, pair_structs
 from ..functions.text import ident, is_translatable
 from ..operators.backends import Backend, make_backend
-from ..operators.memory import Lookup, TranslationMemory, apply_lookup, translate_segments
+from ..operators.memory import Lookup, TranslationMemory, apply_lookup_columns, translate_segments
 from ..operators.segments import distinct_segments, with_pair
 from .sentences import translate_by_sentence
 
@@ -28,6 +26,13 @@ def text_columns(df: DataFrame, columns=None, cast_non_string: bool = False) ->
     return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
 
 
+def refuse_names(df: DataFrame, *names: str) -> None:
+    """Fail early where a column has a name the result needs for its own."""
+    taken = [c for c in df.columns if c.lower() in names]
+    if taken:
+        raise ValueError(f"rename these columns, the result has its own: {taken}")
+
+
 def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns to translate as strings; string columns are left alone."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -41,7 +46,13 @@ def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
 def table_lookup(df: DataFrame, src: str, tgt: str, columns: list[str], backend: Backend,
                  unit: str = "cell", **run) -> Lookup:
     """Distinct texts of the columns, translated and written."""
-    segments = with_pair(distinct_segments(df, columns), src, tgt)
+    return segment_lookup(distinct_segments(df, columns), src, tgt, backend, unit, **run)
+
+
+def segment_lookup(segments: DataFrame, src: str, tgt: str, backend: Backend, unit: str = "cell",
+                   **run) -> Lookup:
+    """Distinct ``(segment, uses)``, translated and written."""
+    segments = with_pair(segments, src, tgt)
     run["pairs"] = [(src, tgt)]
     if unit == "sentence":
         return translate_by_sentence(segments, backend, **run)
@@ -97,7 +108,7 @@ def translate_table(
     lookup = table_lookup(
         df, src, tgt, columns, backend, unit, memory=memory, on_error=on_error, **run
     )
-    return reduce(lambda d, c: apply_lookup(d, c, lookup), columns, df)
+    return apply_lookup_columns(df, columns, lookup)
 
 
 def translate_pairs(
@@ -117,6 +128,7 @@ def translate_pairs(
     expanded in place by a literal of at most six directions.
     """
     pairs = check_pairs(pairs)
+    refuse_names(df, "src_lang", "tgt_lang")
     backend = make_backend(backend)
     columns = text_columns(df, columns, cast_non_string)
     df = as_text(df, columns)
@@ -126,7 +138,7 @@ def translate_pairs(
     wide = df.select(pair, *[ident(c) for c in df.columns]).select(
         "pair.*", *[ident(c) for c in df.columns]
     )
-    return reduce(lambda d, c: apply_lookup(d, c, lookup, pair_columns=True), columns, wide)
+    return apply_lookup_columns(wide, columns, lookup, pair_columns=True)
 
 
 def table_metrics(df: DataFrame, columns=None) -> DataFrame:

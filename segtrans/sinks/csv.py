@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import ident
 
@@ -19,13 +20,17 @@ def write_csv_bom(df: DataFrame, path: str, *, partition_by: list[str] | None =
     partition_by = partition_by or []
     data = [c for c in df.columns if c not in partition_by]
     first = data[0]
+    # A lone missing value would be an empty line, which is no row at all.
+    lone = len(data) == 1
+    if lone:
+        df = df.withColumn(first, F.coalesce(ident(first), F.lit("")))
     out = df.select(
         ident(first).alias(BOM + first), *[ident(c) for c in df.columns if c != first]
     )
     if single_file:
         out = out.coalesce(1)
     writer = out.write.mode(mode).options(
-        header=True, quote='"', escape='"', nullValue="", emptyValue="",
+        header=True, quote='"', escape='"', nullValue="", emptyValue='""' if lone else "",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
     if partition_by:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import ident, normalize_missing
 
@@ -43,6 +46,52 @@ def read_csv_cells(
     return raw.select(*cells)
 
 
+EXTRA = "_extra"
+FILE_FIELDS = (DOC, POS, EXTRA)
+
+
+def csv_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(path, header, lines)`` of each file: the header line, and how many lines there are."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), "value",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+    )
+    return lines.groupBy("path").agg(
+        F.regexp_replace(F.min_by("value", "at"), "^\ufeff", "").alias("header"),
+        F.count(F.lit(1)).alias("lines"),
+    )
+
+
+def column_names(header: str) -> list[str]:
+    """The names in a header line; a repeated one gets a number, as ``a``, ``a.1``."""
+    names, seen = [], {}
+    for name in next(csv.reader([header]), []):
+        if name in FILE_FIELDS:
+            raise ValueError(f"rename this column, its name is reserved: {name}")
+        again = seen.get(name, 0)
+        seen[name] = again + 1
+        names.append(f"{name}.{again}" if again else name)
+    return names
+
+
+def read_csv_group(spark: SparkSession, paths: list[str], names: list[str],
+                   multi_line: bool = True) -> DataFrame:
+    """Rows of files of one header: their columns, ``_doc``, ``_pos`` and ``_extra``.
+
+    A short row is filled up with missing values. ``_extra`` is what a row has
+    beyond its header; such a row is not a row of the table.
+    """
+    schema = StructType([StructField(n, StringType()) for n in [*names, EXTRA]])
+    raw = (
+        spark.read.schema(schema).options(**{**CSV_OPTIONS, "enforceSchema": True})
+        .option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(paths)
+    )
+    return raw.select(
+        *[normalize_missing(ident(n)).alias(n) for n in names], EXTRA,
+        F.col("_metadata.file_path").alias(DOC), F.monotonically_increasing_id().alias(POS),
+    )
+
+
 def normalize_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing-value spellings to NULL in the named columns of any table."""
     return df.select(*[

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.langs import check_pair
 from ..operators.backends import Backend, make_backend
-from ..operators.memory import TranslationMemory, apply_lookup
-from ..plans.tables import as_text, table_lookup, text_columns
+from ..operators.memory import TranslationMemory, apply_lookup_columns
+from ..plans.tables import as_text, refuse_names, table_lookup, text_columns
 
 BATCH = "batch_id"
 
@@ -39,6 +37,7 @@ def stream_translate(
     There is no event time here and so no watermark, and no state but the memory.
     """
     check_pair(src, tgt)
+    refuse_names(stream, BATCH)
     backend = make_backend(backend)
     columns = text_columns(stream, columns)
 
@@ -48,7 +47,7 @@ def stream_translate(
             rows, src, tgt, columns, backend, memory=memory, on_error=on_error,
             batch_id=f"{name}-{number:010d}", **run,
         )
-        done = reduce(lambda d, c: apply_lookup(d, c, lookup), columns, rows)
+        done = apply_lookup_columns(rows, columns, lookup)
         (
             done.withColumn(BATCH, F.lit(number))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

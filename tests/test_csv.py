@@ -53,7 +53,7 @@ def test_bom_of_the_input_is_dropped(spark, tmp_path):
 def test_translate_folder(spark, folder):
     out = translate_csv_files(spark, f"{folder}/*.csv", f"{folder}/out", "en", "ne")
     for name, word in (("a", "said"), ("b", "BOTH")):
-        header, rows = written(f"{out}/file={name}_translated_ne.csv")
+        header, rows = written(f"{out}/_output={name}_translated_ne.csv")
         assert header == ["id", "text, with comma", "note"]
         m = "[MOCK:ne] "
         assert rows == [
@@ -65,7 +65,7 @@ def test_translate_folder(spark, folder):
 def test_sample_table(spark, tmp_path):
     (tmp_path / "s.csv").write_text(ENGLISH, encoding="utf-8")
     out = translate_csv_files(spark, str(tmp_path / "s.csv"), f"{tmp_path}/out", "en", "tmg")
-    header, rows = written(f"{out}/file=s_translated_tmg.csv")
+    header, rows = written(f"{out}/_output=s_translated_tmg.csv")
     assert header == ["name", "description", "greeting"]
     assert rows[1] == ["[MOCK:tmg] Bob", "[MOCK:tmg] He is a student", "[MOCK:tmg] Good morning"]
 
@@ -84,16 +84,14 @@ def test_size_limit_prunes_files(spark, folder):
 
 def test_many_rows_stay_in_order(spark, tmp_path, monkeypatch):
     from segtrans.operators import memory
-    from segtrans.plans import csv_files
 
     lines = "\n".join(f"{i},text {i % 50}" for i in range(2000))
     (tmp_path / "m.csv").write_text(f"n,t\n{lines}\n")
     # As if the lookup were beyond the broadcast limit.
-    monkeypatch.setattr(csv_files, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(memory.apply_lookup, "__kwdefaults__",
-                        {**memory.apply_lookup.__kwdefaults__, "broadcast_bytes": 0, "hot_rows": 10})
+    for f in (memory.apply_lookup, memory.apply_lookup_columns):
+        monkeypatch.setattr(f, "__kwdefaults__", {**f.__kwdefaults__, "broadcast_bytes": 0, "hot_rows": 10})
     out = translate_csv_files(spark, str(tmp_path / "m.csv"), f"{tmp_path}/out", "en", "ne", multi_line=False)
-    _, rows = written(f"{out}/file=m_translated_ne.csv")
+    _, rows = written(f"{out}/_output=m_translated_ne.csv")
     assert [r[0] for r in rows] == [f"[MOCK:ne] {i}" for i in range(2000)]
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from segtrans.functions.langs import CODES, LANGUAGES
-from segtrans.functions.text import NA_TOKENS, WS_CODE_POINTS
+# Fixed values, stated here again: this module takes nothing from the code it checks.
+# Languages; the cell texts pandas takes as missing; what Python's str.strip strips.
+LANGUAGES = {"english": "en", "nepali": "ne", "tamang": "tmg"}
+CODES = ("en", "ne", "tmg")
+NA_TOKENS = ["", *"#N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN|<NA>|N/A|NA|NULL|NaN|None|n/a|nan|null".split("|")]
+WS_CODE_POINTS = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 
 WS = "(" + "||".join(f"chr({c})" for c in WS_CODE_POINTS) + ")"
 NA = ", ".join(f"'{t}'" for t in NA_TOKENS)
@@ -131,15 +135,36 @@ FILES = """files AS (SELECT '/in/doc_' || doc_id || CASE doc_id % 4 WHEN 0 THEN
 LANG = "CASE lower(lang) " + " ".join(
     f"WHEN '{n}' THEN '{c}' WHEN '{c}' THEN '{c}'" for n, c in LANGUAGES.items()) + " END"
 SENTENCES = """sentences AS (
-  SELECT conv_id, turn, generate_subscripts(parts, 1) - 1 AS i, unnest(parts) AS sentence FROM (
-    SELECT conv_id, turn, string_split(
-      regexp_replace(text, '([.!?।])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts
-    FROM conversations))"""
+  SELECT conv_id, turn, i, sentence, coalesce(seps[i + 1], '') AS separator FROM (
+    SELECT conv_id, turn, seps, generate_subscripts(parts, 1) - 1 AS i, unnest(parts) AS sentence FROM (
+      SELECT conv_id, turn, string_split(
+        regexp_replace(text, '([.!?।])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts,
+        regexp_extract_all(text, '[.!?।](\\s+)', 1) AS seps
+      FROM conversations)))"""
 PAIRS = " UNION ALL ".join(
     f"SELECT '{s}' AS src_lang, '{t}' AS tgt_lang" for s in CODES for t in CODES if s != t)
 PART_CELLS = "(SELECT p_name AS segment FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_type FROM part)"
 
 
+_NAME = """CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE 'y' END || '/my +file ' || (p_partkey % 6)"""
+CSV_FOLDER = f"""SELECT {_NAME} || '_translated_ne.csv' AS name, '[MOCK:ne] ' || p_partkey AS a,
+    CASE WHEN p_partkey % 2 = 0 THEN '[MOCK:ne] ' || p_name || ', x'
+      WHEN p_partkey % 7 <> 0 THEN '[MOCK:ne] ' || p_name END AS b,
+    CASE WHEN p_partkey % 2 = 0 THEN '[MOCK:ne] ' || p_type END AS c
+  FROM part WHERE p_partkey % 6 <> 5 AND (p_partkey % 2 = 0 OR p_partkey % 7 = 0 OR p_partkey % 11 <> 0)
+  UNION ALL SELECT {_NAME} || '.csv', 'a row longer than its header', p_partkey::VARCHAR, NULL
+  FROM part WHERE p_partkey % 6 <> 5 AND p_partkey % 2 = 1 AND p_partkey % 7 <> 0 AND p_partkey % 11 = 0
+  UNION ALL SELECT DISTINCT {_NAME} || '.txt', 'unknown suffix', NULL, NULL FROM part WHERE p_partkey % 6 = 5"""
+_DOCX = "CASE WHEN doc_id % 2 = 0 THEN 'x/' ELSE 'y/' END || 'doc ' || (doc_id // 2)"
+DOCX_FOLDER = f"""WITH {LINES} SELECT {_DOCX} || '_translated_ne.docx' AS name,
+    CASE WHEN line_idx % 8 >= 6 THEN (line_idx // 8)::INT END AS table_idx,
+    CASE WHEN line_idx % 8 >= 6 THEN 0 END AS row_idx,
+    CASE WHEN line_idx % 8 >= 6 THEN (line_idx % 8 - 6)::INT END AS col_idx,
+    CASE WHEN line_idx % 8 >= 6 THEN 0 ELSE (line_idx // 8 * 6 + line_idx % 8)::INT END AS para_idx,
+    {mock('line')} AS text FROM lines WHERE doc_id % 50 <> 3
+  UNION ALL SELECT {_DOCX} || '.docx', NULL, NULL, NULL, NULL, 'broken' FROM documents WHERE doc_id % 50 = 3"""
+
+
 def missing_name() -> str:
     """Customer names, some of them replaced by a spelling of "missing"."""
     cases = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(NA_TOKENS))
@@ -153,13 +178,13 @@ def sql() -> dict[str, str]:
     return {
         "translate_table_part": part,
         "translate_table_inline": part,
-        "translate_table_orders": "SELECT o_orderkey, o_custkey, " + ", ".join(
+        "translate_table_orders": "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, " + ", ".join(
             f"{mock(c, 'tmg')} AS {c}" for c in ("o_orderstatus", "o_orderpriority")) + " FROM orders",
-        "translate_table_lineitem": "SELECT l_orderkey, l_linenumber, " + ", ".join(
-            f"{mock(c)} AS {c}" for c in ("l_returnflag", "l_linestatus")) + " FROM lineitem",
-        "translate_table_events": "SELECT event_id, user_id, " + ", ".join(
-            f"{mock(c, 'tmg')} AS {c}" for c in ("event_type", "props")) + " FROM events",
-        "translate_table_documents": f"SELECT doc_id, lang, {mock('text')} AS text FROM documents",
+        "translate_table_lineitem": "SELECT * REPLACE (" + ", ".join(
+            f"{mock(c)} AS {c}" for c in ("l_returnflag", "l_linestatus")) + ") FROM lineitem",
+        "translate_table_events": "SELECT * REPLACE (" + ", ".join(
+            f"{mock(c, 'tmg')} AS {c}" for c in ("event_type", "props")) + ") FROM events",
+        "translate_table_documents": f"SELECT * REPLACE ({mock('text')} AS text) FROM documents",
         "translate_cast_all": "SELECT '[MOCK:ne] ' || c_custkey AS c_custkey, '[MOCK:ne] ' || c_name "
             "AS c_name, '[MOCK:ne] ' || c_nationkey AS c_nationkey, '[MOCK:ne] ' || c_mktsegment AS "
             "c_mktsegment FROM customer",
@@ -186,28 +211,29 @@ def sql() -> dict[str, str]:
             (SELECT text FROM benchmark) THEN '[MOCK:ne] ' || line ELSE line END AS line FROM lines""",
         "apply_lookup_shuffled": f"""WITH {LINES} SELECT doc_id, line_idx, {mock('line')} AS line
             FROM lines""",
-        "translate_pairs": f"""SELECT src_lang, tgt_lang, p_partkey, '[MOCK:' || tgt_lang || '] ' ||
-            p_type AS p_type, '[MOCK:' || tgt_lang || '] ' || p_brand AS p_brand
-            FROM part, ({PAIRS})""",
+        "apply_lookup_columns": part,
+        "translate_pairs": f"""SELECT src_lang, tgt_lang, part.* REPLACE ('[MOCK:' || tgt_lang || '] ' ||
+            p_type AS p_type, '[MOCK:' || tgt_lang || '] ' || p_brand AS p_brand,
+            '[MOCK:' || tgt_lang || '] ' || p_name AS p_name) FROM part, ({PAIRS})""",
         "language_pairs": f"SELECT doc_id, src_lang, tgt_lang FROM documents JOIN ({PAIRS}) ON lang = src_lang",
         "check_pair": f"""SELECT doc_id, lang, tgt_lang, lang IN {CODES} AND lang <> tgt_lang AS ok
             FROM documents, (SELECT unnest({list(CODES)}) AS tgt_lang)""",
         "lang_code": f"SELECT doc_id, lang, {LANG} AS lang_code FROM documents",
         "retry_outcome": f"""WITH {LINES} SELECT segment, {OUTCOME.format('segment')} AS status,
             CASE length(segment) % 5 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 1 END AS attempts,
-            CASE length(segment) % 5 WHEN 3 THEN 'HTTP 503 on attempt 3'
-              WHEN 4 THEN 'API error: too hard' END AS error,
+            CASE length(segment) % 5 WHEN 3 THEN 'HTTP 503'
+              WHEN 4 THEN 'refused: too hard' END AS error,
             CASE WHEN length(segment) % 5 < 3 THEN '[ne] ' || segment END AS translation
             FROM ({line_memory})""",
         "fallback_to_source": f"""SELECT conv_id, turn, CASE WHEN length(text) % 5 < 3 AND
             {strip('text')} <> '' THEN '[ne] ' || text ELSE text END AS text FROM conversations""",
         "fail_policy_report": f"""WITH {CONV} SELECT DISTINCT line AS segment,
             {OUTCOME.format('line')} AS status, CASE length(line) % 5 WHEN 3 THEN
-            'HTTP 503 on attempt 3' ELSE 'API error: too hard' END AS error
+            'HTTP 503' ELSE 'refused: too hard' END AS error
             FROM conv WHERE {strip('line')} <> '' AND length(line) % 5 >= 3""",
         "parse_response": """SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN text END AS translation,
             CASE WHEN turn % 3 <> 0 THEN 'ok' ELSE 'api_error' END AS status,
-            CASE WHEN turn % 3 = 0 THEN 'API error: ' || role END AS error FROM conversations""",
+            CASE WHEN turn % 3 = 0 THEN 'refused: ' || role END AS error FROM conversations""",
         "assemble_paragraphs": f"""WITH {LINES} SELECT doc_id, line_idx AS para_idx, line AS text FROM lines""",
         "first_run": f"""WITH {RUNS} SELECT doc_id, para_idx, run_idx, text, bold FROM runs
             WHERE run_idx = 0""",
@@ -300,12 +326,27 @@ def sql() -> dict[str, str]:
             PARTITION BY doc_id ORDER BY line_idx) AS INT) AS n_shown FROM lines
             WHERE {strip('line')} <> '' QUALIFY n_shown <= 8""",
         "sentence_segments": f"""WITH {SENTENCES} SELECT conv_id, turn, CAST(i AS INT) AS sentence_idx,
-            sentence FROM sentences""",
+            sentence, separator FROM sentences""",
+        "sentence_failures": f"""WITH {SENTENCES}, texts AS (SELECT DISTINCT text FROM conversations
+              WHERE {strip('text')} <> ''),
+            parts AS (SELECT DISTINCT c.text, s.sentence, length(s.sentence) % 5 AS rule FROM sentences s
+              JOIN conversations c ON s.conv_id = c.conv_id AND s.turn = c.turn WHERE {strip('s.sentence')} <> ''),
+            firsts AS (SELECT c.text, s.i, length(s.sentence) % 5 AS rule FROM sentences s
+              JOIN conversations c ON s.conv_id = c.conv_id AND s.turn = c.turn WHERE {strip('s.sentence')} <> '')
+            SELECT text AS segment, coalesce((SELECT CASE arg_min(rule, i) WHEN 3 THEN 'failed' ELSE 'api_error' END
+                FROM firsts f WHERE f.text = t.text AND rule >= 3 HAVING count(*) > 0), 'ok') AS status,
+              (SELECT max(CASE rule WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 1 END)
+                FROM parts p WHERE p.text = t.text)::INT AS attempts FROM texts t""",
         "translate_by_sentence": f"""SELECT conv_id, turn, CASE WHEN {strip('text')} = '' THEN text ELSE
             '[MOCK:ne] ' || regexp_replace(text, '([.!?।]\\s+)', '\\1[MOCK:ne] ', 'g') END AS text
             FROM conversations""",
-        "csv_roundtrip": "SELECT '[MOCK:ne] ' || p_partkey AS p_partkey, " + ", ".join(
-            f"{mock(c)} AS {c}" for c in ("p_name", "p_brand", "p_type")) + " FROM part",
+        "csv_roundtrip": "SELECT " + ", ".join(
+            f"'[MOCK:ne] ' || {c} AS {c}" for c in
+            ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")) + " FROM part",
+        "csv_one_column": f"""SELECT CASE WHEN v IN ({NA}) THEN NULL ELSE {mock('v')} END AS v
+            FROM (SELECT {missing_name()} AS v FROM customer)""",
+        "csv_folder": CSV_FOLDER,
+        "docx_folder": DOCX_FOLDER,
         "stream_translate": f"""SELECT event_id, {mock('event_type')} AS event_type,
             {mock('props')} AS props FROM events""",
         "stream_memory": """SELECT segment, count(*) AS n FROM (SELECT DISTINCT event_type AS segment

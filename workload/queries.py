@@ -15,11 +15,12 @@ from segtrans.operators import preview as pre
 from segtrans.operators import runs as run_ops
 from segtrans.operators import segments as seg
 from segtrans.operators.backends import MockBackend, parse_response, run_backend
-from segtrans.plans import csv_files, sentences, tables
+from segtrans.plans import csv_files, docx_files, sentences, tables
 from segtrans.plans import layout as plan
 from segtrans.plans import runs as run_plan
 from segtrans.session import new_work_dir
 from segtrans.sinks.csv import write_csv_bom
+from segtrans.sinks.files import export_files
 from segtrans.sources import csv as csv_src
 from segtrans.sources import docx as docx_src
 from segtrans.sources import files as file_src
@@ -49,24 +50,20 @@ def translate_table_inline(spark, sf):
 
 
 def translate_table_orders(spark, sf):
-    orders = d.table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return tables.translate_table(orders, "en", "tmg", dedup=True)
+    return tables.translate_table(d.table(spark, sf, "orders"), "en", "tmg", dedup=True)
 
 
 def translate_table_lineitem(spark, sf):
-    items = d.table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    return tables.translate_table(items, "en", "ne", dedup=True)
+    return tables.translate_table(d.table(spark, sf, "lineitem"), "en", "ne", dedup=True)
 
 
 def translate_table_events(spark, sf):
-    events = d.table(spark, sf, "events").select("event_id", "user_id", "event_type", "props")
+    events = d.table(spark, sf, "events")
     return tables.translate_table(events, "en", "tmg", dedup=True)
 
 
 def translate_table_documents(spark, sf):
-    docs = d.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = d.table(spark, sf, "documents")
     return tables.translate_table(docs, "en", "ne", columns=["text"], dedup=True)
 
 
@@ -154,10 +151,17 @@ def apply_lookup_shuffled(spark, sf):
         d.document_lines(spark, sf), "line", lookup, broadcast_bytes=20_000, hot_rows=3)
 
 
+def apply_lookup_columns(spark, sf):
+    """Three columns through one shuffled join, forced by a tiny limit."""
+    lookup = mem.translate_segments(
+        seg.with_pair(seg.distinct_segments(_part(spark, sf), ["p_name", "p_brand", "p_type"]), "en", "ne"), MOCK)
+    return mem.apply_lookup_columns(
+        _part(spark, sf), ["p_name", "p_brand", "p_type"], lookup, broadcast_bytes=500, hot_rows=50)
+
+
 def translate_pairs(spark, sf):
     pairs = [(a, b) for a in langs.CODES for b in langs.CODES if a != b]
-    return tables.translate_pairs(
-        _part(spark, sf).select("p_partkey", "p_type", "p_brand"), pairs)
+    return tables.translate_pairs(_part(spark, sf), pairs)
 
 
 def language_pairs(spark, sf):
@@ -388,8 +392,8 @@ def list_files(spark, sf):
 
 def size_guard(spark, sf):
     files = _files(spark, sf)
-    good = file_src.accepted_files(files).select("path", F.lit("accepted").alias("reason"))
-    return good.unionByName(file_src.rejected_files(files).select("path", "reason"))
+    good = file_src.accepted_files(files, fx.MAX_FILE_BYTES).select("path", F.lit("accepted").alias("reason"))
+    return good.unionByName(file_src.rejected_files(files, fx.MAX_FILE_BYTES).select("path", "reason"))
 
 
 def output_name(spark, sf):
@@ -410,7 +414,7 @@ def preview_lines(spark, sf):
 
 def sentence_segments(spark, sf):
     return sentences.sentence_segments(
-        d.table(spark, sf, "conversations"), "text", "conv_id", "turn").drop("separator")
+        d.table(spark, sf, "conversations"), "text", "conv_id", "turn")
 
 
 def translate_by_sentence(spark, sf):
@@ -418,12 +422,78 @@ def translate_by_sentence(spark, sf):
     return tables.translate_table(turns, "en", "ne", unit="sentence")
 
 
+def sentence_failures(spark, sf):
+    """What became of whole texts whose sentences were refused or throttled."""
+    turns = seg.distinct_segments(d.table(spark, sf, "conversations"), ["text"])
+    lookup = sentences.translate_by_sentence(
+        seg.with_pair(turns, "en", "ne"), rule_backend(), on_error="source")
+    return lookup.df.select("segment", "status", "attempts")
+
+
 def csv_roundtrip(spark, sf):
     """Table to CSV, the CSV files translated into CSV files, and those read."""
     work = new_work_dir(spark, "csv")
-    write_csv_bom(_part(spark, sf).select("p_partkey", "p_name", "p_brand", "p_type"), f"{work}/in")
-    csv_files.translate_csv_files(spark, f"{work}/in/*.csv", f"{work}/out", "en", "ne", max_bytes=None)
-    return csv_src.read_csv_cells(spark, f"{work}/out").drop("file")
+    write_csv_bom(_part(spark, sf), f"{work}/in")
+    csv_files.translate_csv_files(spark, f"{work}/in/*.csv", f"{work}/out", "en", "ne")
+    return csv_src.read_csv_cells(spark, f"{work}/out").drop(csv_files.OUTPUT)
+
+
+def csv_one_column(spark, sf):
+    """A column with missing values, alone in its file."""
+    work = new_work_dir(spark, "csv")
+    write_csv_bom(_with_missing(spark, sf).select("v"), f"{work}/in")
+    csv_files.translate_csv_files(spark, f"{work}/in/*.csv", f"{work}/out", "en", "ne")
+    return csv_src.read_csv_cells(spark, f"{work}/out").drop(csv_files.OUTPUT)
+
+
+def csv_folder(spark, sf):
+    """Folders with files of equal names and other headers, short and long rows, and a text file.
+
+    ``x`` has a column ``File``; in ``y`` every seventh row is short and every
+    eleventh too long. The result is what comes out, by output and first cell.
+    """
+    work = new_work_dir(spark, "csv-folder")
+    key = F.col("p_partkey")
+    in_x = key % 2 == 0
+    line = F.when(in_x, F.concat_ws(",", key, F.concat(F.lit('"'), "p_name", F.lit(', x"')), "p_type")).otherwise(
+        F.when(key % 7 == 0, key.cast("string")).when(key % 11 == 0, F.concat_ws(",", key, "p_name", F.lit("too"), F.lit("long")))
+        .otherwise(F.concat_ws(",", key, "p_name")))
+    name = F.concat(F.when(in_x, "x").otherwise("y"), F.lit("/my +file "), (key % 6).cast("string"),
+                    F.when(key % 6 == 5, ".txt").otherwise(".csv"))
+    header = F.when(F.startswith("name", F.lit("x")), "id,File,kind").otherwise("id,title")
+    rows = _part(spark, sf).select(name.alias("name"), line.alias("line"))
+    content = F.concat(header, F.lit("\n"), F.array_join(F.sort_array(F.collect_list("line")), "\n"))
+    export_files(rows.groupBy("name").agg(F.encode(content, "utf-8").alias("content")), f"{work}/in", "name")
+    csv_files.translate_csv_files(spark, f"{work}/in", f"{work}/out", "en", "ne")
+
+    def read(folder: str, names: list[str]) -> DataFrame:
+        table = spark.read.option("basePath", f"{work}/out").csv(f"{work}/out/_output={folder}*", header=True)
+        a, b, c = (F.col(n) if n else F.lit(None).cast("string") for n in [*names, ""][:3])
+        return table.select(csv_files.OUTPUT, a.alias("a"), b.alias("b"), c.alias("c"))
+
+    rejected = spark.read.parquet(f"{work}/out/{file_src.REJECTED}").select(
+        F.element_at(F.split("path", "/in/"), -1).alias("name"), "reason", F.get_json_object("row", "$[0]"), F.lit(None))
+    return read("x", ["id", "File", "kind"]).union(read("y", ["id", "title"])).withColumnRenamed(
+        csv_files.OUTPUT, "name").union(rejected)
+
+
+def docx_folder(spark, sf):
+    """A folder of DOCX files with tables, one broken, and equal names in two folders."""
+    work = new_work_dir(spark, "docx-folder")
+    docs = d.table(spark, sf, "documents")
+    folder = F.when(F.col("doc_id") % 2 == 0, "x/").otherwise("y/")
+    files = documents_as_docx(docs, tables=True).withColumn("doc_id", F.col("path").cast("long"))
+    files = files.select(
+        F.concat(folder, F.lit("doc "), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".docx")).alias("name"),
+        F.when(F.col("doc_id") % 50 == 3, F.encode(F.lit("no archive"), "utf-8")).otherwise(F.col("content")).alias("content"))
+    export_files(files, f"{work}/in", "name")
+    docx_files.translate_docx_files(spark, f"{work}/in", f"{work}/out", "en", "ne", dedup=True)
+    done = spark.read.parquet(f"{work}/out").select(F.col("output_name").alias("path"), "content")
+    paragraphs = run_ops.assemble_paragraphs(docx_src.read_docx_runs(done)).select(
+        F.col("doc_id").alias("name"), "table_idx", "row_idx", "col_idx", "para_idx", "text")
+    broken = spark.read.parquet(f"{work}/out/{file_src.REJECTED}").select(
+        F.element_at(F.split("path", "/in/"), -1), *[F.lit(None).cast("int")] * 4, F.lit("broken"))
+    return paragraphs.union(broken)
 
 
 # ----------------------------------------------------------------- streaming
@@ -458,7 +528,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         translate_table_part, translate_table_inline, translate_table_orders,
         translate_table_lineitem, translate_table_events, translate_table_documents,
         translate_cast_all, normalize_missing, is_translatable, distinct_segments, run_metrics,
-        mock_backend, memory_build, new_segments, apply_memory, apply_lookup_shuffled,
+        mock_backend, memory_build, new_segments, apply_memory, apply_lookup_shuffled, apply_lookup_columns,
         translate_pairs, language_pairs, check_pair, lang_code, retry_outcome,
         fallback_to_source, fail_policy_report, assemble_paragraphs, first_run, rewrite_runs,
         translate_runs, docx_roundtrip, span_style, horizontal_rules, underlined_spans,
@@ -467,7 +537,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         is_heading, paragraph_style, escape_markup, distinct_layout_segments, translate_layout,
         translate_layout_cells, page_breaks, empty_pages, reflow_plan, reflow_cells,
         reassemble_text, list_files, size_guard, output_name, preview, preview_lines,
-        sentence_segments, translate_by_sentence, csv_roundtrip, stream_memory,
+        sentence_segments, translate_by_sentence, sentence_failures, csv_roundtrip, csv_one_column,
+        csv_folder, docx_folder, stream_memory,
     )
 }
 QUERIES["parse_response"] = parse_reply_log
