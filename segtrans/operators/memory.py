@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -126,6 +127,21 @@ class Lookup:
         return self.df.where(F.coalesce(F.col("status"), F.lit("missing")) != OK)
 
 
+@dataclass
+class RunReport:
+    """What a run did; pass one as ``report=`` to any translation and read it afterwards."""
+
+    calls: int = 0
+    distinct_texts: int = 0
+    failed: int = 0
+    seconds: float = 0.0
+    failures: DataFrame | None = None
+
+    def fill(self, lookup: Lookup, seconds: float) -> None:
+        self.calls, self.distinct_texts, self.failed = lookup.calls, lookup.rows, lookup.failed
+        self.seconds, self.failures = seconds, lookup.failures()
+
+
 def write_measured(df: DataFrame, path: str) -> tuple[DataFrame, dict]:
     """Write and, in the same job, count rows and bytes of what is written."""
     seen = Observation(f"lookup-{run_id()}")
@@ -153,6 +169,25 @@ def translate_segments(
     backend: Backend,
     memory: TranslationMemory | None = None,
     on_error: str = "fail",
+    *,
+    report: RunReport | None = None,
+    **run,
+) -> Lookup:
+    """As :func:`lookup_of`; fills in ``report``, then stops on failures if that is the policy."""
+    if on_error not in ("fail", "source"):
+        raise ValueError(f"on_error must be 'fail' or 'source', not {on_error!r}")
+    start = time.monotonic()
+    lookup = lookup_of(segments, backend, memory, **run)
+    if report is not None:
+        report.fill(lookup, time.monotonic() - start)
+    _stop_on_failures(lookup, on_error)
+    return lookup
+
+
+def lookup_of(
+    segments: DataFrame,
+    backend: Backend,
+    memory: TranslationMemory | None = None,
     parallel_calls: int | None = None,
     slices: int = 1,
     batch_id: str | None = None,
@@ -166,8 +201,6 @@ def translate_segments(
     separately committed batches, so a lost run resumes after its last batch.
     ``pairs`` names the directions, where known, so that no others are read.
     """
-    if on_error not in ("fail", "source"):
-        raise ValueError(f"on_error must be 'fail' or 'source', not {on_error!r}")
     spark = segments.sparkSession
     work = new_work_dir(spark, "translate")
     if memory is None and slices > 1:
@@ -176,9 +209,7 @@ def translate_segments(
     if memory is None:
         results = run_backend(segments, backend, parallel_calls)
         df, seen = write_measured(results, f"{work}/lookup")
-        lookup = Lookup(df, calls=seen["rows"], **seen)
-        _stop_on_failures(lookup, on_error)
-        return lookup
+        return Lookup(df, calls=seen["rows"], **seen)
 
     # Cut the lineage here: the slices and the lookup all start from this table.
     slice_no = F.pmod(segment_hash("segment"), F.lit(slices)).cast("int")
@@ -229,7 +260,6 @@ def translate_segments(
             failed.withColumn("status", F.coalesce("status", F.lit(OK))), lookup.rows, lookup.uses,
             lookup.bytes, lookup.failed, calls,
         )
-    _stop_on_failures(lookup, on_error)
     return lookup
 
 

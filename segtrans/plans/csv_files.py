@@ -49,7 +49,8 @@ def translate_csv_files(
     even a single huge file is spread over many tasks. What is not translated
     is listed in ``out_dir/_rejected`` as ``(path, reason, row)``: files that
     are no CSV, too large where a limit is set, or without rows, and rows longer
-    than their header. Short rows are filled up.
+    than their header. (Files of no bytes at all are not listed by Spark.) Short
+    rows are filled up.
     """
     check_pair(src, tgt)
     backend = make_backend(backend)

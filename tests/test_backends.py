@@ -1,6 +1,8 @@
 """Retry, replies and the policies on failure."""
 
+import http.client
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from segtrans.operators import backends as b
 from segtrans.operators.memory import TranslationFailed, TranslationMemory
 from segtrans.plans.tables import translate_table
+from segtrans.session import ship_by_value
 from workload.service import no_wait, rule_backend
 
 
@@ -128,3 +131,59 @@ def test_fail_policy_without_memory(strings):
 
 def test_no_wait_is_silent():
     assert no_wait(1.0) is None
+
+
+@pytest.mark.parametrize("output", [None, 5, ["x"]])
+def test_only_text_is_a_translation(spark, output):
+    body = json.dumps({"message_type": "SUCCESS", "output": output})
+    made, _, _ = backend([b.HttpReply(200, body)])
+    [result] = made.translate_batch(["Hello"], "en", "ne")
+    assert (result.translation, result.status, result.attempts) == (None, b.API_ERROR, 1)
+    row = spark.createDataFrame([(body,)], "body string").select(b.parse_response(F.col("body")).alias("r")).first().r
+    assert (row.translation, row.status, row.error) == (None, b.API_ERROR, b.NOT_TEXT)
+
+
+@pytest.mark.parametrize("error", [http.client.IncompleteRead(b"x"), UnicodeDecodeError("utf-8", b"x", 0, 1, "bad"),
+                                   http.client.BadStatusLine("x"), ConnectionResetError()])
+def test_every_transport_error_is_tried_again(monkeypatch, error):
+    def broken(*args, **options):
+        raise error
+
+    monkeypatch.setattr(b.urllib.request, "urlopen", broken)
+    made = b.HttpBackend("https://translation.invalid/", sleep=no_wait, auth=dict)
+    [result] = made.translate_batch(["Hello"], "en", "ne")
+    assert (result.status, result.attempts) == (b.FAILED, 3)
+
+
+class Slow(b.Backend):
+    """Notes how many calls of its process are under way at once."""
+
+    name = "slow"
+
+    def translate_batch(self, texts, src, tgt):
+        import threading
+        import time
+
+        state = threading.__dict__.setdefault("_slow_calls", {"now": 0, "lock": threading.Lock()})
+        out = []
+        for text in texts:
+            with state["lock"]:
+                state["now"] += 1
+                most = state["now"]
+            time.sleep(0.05)
+            with state["lock"]:
+                state["now"] -= 1
+            out.append(b.Result(f"{most}"))
+        return out
+
+
+def test_several_calls_to_a_task_and_never_beyond_the_ceiling(spark, strings):
+    ship_by_value(sys.modules[__name__])
+    cores = spark.sparkContext.defaultParallelism
+    segments = strings([f"text {i}" for i in range(400)], "segment").selectExpr(
+        "'en' src_lang", "'ne' tgt_lang", "segment", "1L uses")
+    for ceiling, most in ((cores * 4, 4), (2, 1)):
+        done = b.run_backend(segments, Slow(), ceiling)
+        assert done.rdd.getNumPartitions() == (cores * b.TASKS_PER_CORE if most > 1 else 2)
+        at_once = {int(r.translation) for r in done.collect()}
+        assert max(at_once) == most

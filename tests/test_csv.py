@@ -2,6 +2,7 @@
 
 import csv
 import glob
+from urllib.parse import unquote
 
 import pytest
 
@@ -99,3 +100,34 @@ def test_writer_single_file(spark, tmp_path):
     df = spark.createDataFrame([("a", None), (" b ", 'q"')], "x string, y string")
     write_csv_bom(df, f"{tmp_path}/o", single_file=True)
     assert written(f"{tmp_path}/o") == (["x", "y"], [["a", ""], [" b ", 'q"']])
+
+
+def test_nothing_is_lost_in_a_folder(spark, tmp_path):
+    """Other headers, equal names, odd names, one column, short, long and missing rows, large files."""
+    files = {
+        "x/s.csv": "a,File,file.1\n1,2,3\nshort\n", "y/s.csv": "t\none\nNA\n\ntwo\n",
+        "y/my file+1.csv": "a,b\n1,2\n3,4,too long\n", "y/header.csv": "a,b\n", "y/notes.txt": "no",
+        "big.csv": "t\n" + ("x" * 1000 + "\n") * 1_100,
+    }
+    for name, content in files.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(content)
+    out = translate_csv_files(spark, f"{tmp_path}/in", f"{tmp_path}/out", "en", "ne")
+    m = "[MOCK:ne] "
+    read = {unquote(p.rsplit("=", 1)[1]): written(p) for p in glob.glob(f"{out}/_output=*")}
+    assert set(read) == {f"{n[:-4]}_translated_ne.csv" for n in ("x/s.csv", "y/s.csv", "y/my file+1.csv", "big.csv")}
+    assert read["x/s_translated_ne.csv"] == (["a", "File", "file.1"], [[m + "1", m + "2", m + "3"], [m + "short", "", ""]])
+    assert read["y/s_translated_ne.csv"] == (["t"], [[m + "one"], [""], [m + "two"]])
+    assert read["y/my file+1_translated_ne.csv"] == (["a", "b"], [[m + "1", m + "2"]])
+    rejected = {(r.path.rsplit("/", 1)[1], r.reason, r.row) for r in spark.read.parquet(f"{out}/_rejected").collect()}
+    assert rejected == {
+        ("header.csv", "no rows", None), ("notes.txt", "unknown suffix", None),
+        ("my file+1.csv", "a row longer than its header", '["3","4","too long"]')}
+
+
+def test_equal_export_names_are_refused(spark, tmp_path):
+    from segtrans.sinks.files import export_files
+
+    files = spark.createDataFrame([("a", b"1"), ("a", b"2")], "output_name string, content binary")
+    with pytest.raises(ValueError, match="one name"):
+        export_files(files, str(tmp_path / "o"))

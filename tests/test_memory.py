@@ -204,3 +204,60 @@ def test_nothing_to_translate(spark, strings, tmp_path, values):
         assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
     assert memory.read().count() == 0
     assert table_metrics(df).first().texts == 0
+
+
+def test_long_texts_of_many_sentences_take_linear_time(spark):
+    import time
+
+    from segtrans.plans.sentences import sentence_segments
+
+    def seconds(n):
+        text = spark.createDataFrame([("One sentence here. " * n,)], "v string")
+        start = time.monotonic()
+        assert sentence_segments(text, "v").count() == n + 1
+        sentence_segments(text, "v").write.format("noop").mode("overwrite").save()
+        return time.monotonic() - start
+
+    seconds(1000)
+    assert seconds(16_000) < 8 * seconds(4_000) + 2
+
+
+def test_failures_of_another_batch_stay_out(spark, strings, tmp_path):
+    from workload.service import rule_backend
+
+    memory = mem.TranslationMemory(spark, str(tmp_path / "m"))
+    segments = with_pair(distinct_segments(strings(["abc", "abcd"], "v"), ["v"]), "en", "ne")
+    for batch in ("day10", "day1"):
+        lookup = mem.translate_segments(segments, rule_backend(), memory, "source", batch_id=batch)
+        assert lookup.failed == lookup.failures().count() == 2
+
+
+def test_names_the_result_needs_are_refused(spark, df):
+    from segtrans.streaming.translate import stream_translate
+
+    with pytest.raises(ValueError, match="rename"):
+        translate_pairs(df.withColumn("src_lang", F.lit("x")), [("en", "ne")])
+    with pytest.raises(ValueError, match="rename"):
+        stream_translate(df.withColumn("Batch_Id", F.lit(1)), "en", "ne", memory=None, out_path="", checkpoint="")
+
+
+@pytest.mark.parametrize("hot_rows", [1, 3, 10**9])
+def test_many_columns_through_one_join(spark, hot_rows):
+    rows = [(i, f"t{i % 7}", None if i % 5 else "t1", "  ", 1.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, a string, `b.c` string, d string, e double")
+    segments = with_pair(distinct_segments(df, ["a", "b.c", "d"]), "en", "ne")
+    lookup = mem.translate_segments(segments, MockBackend())
+    got = mem.apply_lookup_columns(df, ["a", "b.c", "d"], lookup, broadcast_bytes=10, hot_rows=hot_rows)
+    assert got.columns == df.columns
+    want = [(i, f"[MOCK:ne] {a}", b and f"[MOCK:ne] {b}", d, e) for i, a, b, d, e in rows]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_report(spark, strings):
+    from workload.service import rule_backend
+
+    report = mem.RunReport()
+    translate_table(strings(["abc", "abcd", "abcde", "abcde"]), "en", "ne", backend=rule_backend(),
+                    on_error="source", report=report)
+    assert (report.calls, report.distinct_texts, report.failed) == (3, 3, 2) and report.seconds > 0
+    assert {r.segment for r in report.failures.collect()} == {"abc", "abcd"}

@@ -231,6 +231,11 @@ def sql() -> dict[str, str]:
             {OUTCOME.format('line')} AS status, CASE length(line) % 5 WHEN 3 THEN
             'HTTP 503' ELSE 'refused: too hard' END AS error
             FROM conv WHERE {strip('line')} <> '' AND length(line) % 5 >= 3""",
+        "run_report": f"""WITH {CONV}, texts AS (SELECT DISTINCT line AS segment FROM conv
+              WHERE {strip('line')} <> ''), n AS (SELECT count(*)::INT AS calls, count(*)::INT AS distinct_texts,
+              count(*) FILTER (length(segment) % 5 >= 3)::INT AS failed FROM texts)
+            SELECT segment, CASE length(segment) % 5 WHEN 3 THEN 3 ELSE 1 END AS attempts, n.*
+            FROM texts, n WHERE length(segment) % 5 >= 3""",
         "parse_response": """SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN text END AS translation,
             CASE WHEN turn % 3 <> 0 THEN 'ok' ELSE 'api_error' END AS status,
             CASE WHEN turn % 3 = 0 THEN 'refused: ' || role END AS error FROM conversations""",

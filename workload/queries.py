@@ -203,6 +203,17 @@ def fail_policy_report(spark, sf):
     return memory.failures().select("segment", "status", "error")
 
 
+def run_report(spark, sf):
+    """Calls, distinct texts and failures of a run without a memory (and the failed texts)."""
+    report = mem.RunReport()
+    tables.translate_table(
+        d.conversation_lines(spark, sf), "en", "ne", columns=["line"], backend=rule_backend(),
+        on_error="source", report=report)
+    return report.failures.select(
+        F.col("segment"), "attempts", F.lit(report.calls).alias("calls"),
+        F.lit(report.distinct_texts).alias("distinct_texts"), F.lit(report.failed).alias("failed"))
+
+
 def parse_reply_log(spark, sf):
     good = F.col("turn") % 3 != 0
     body = F.to_json(F.struct(
@@ -530,7 +541,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         translate_cast_all, normalize_missing, is_translatable, distinct_segments, run_metrics,
         mock_backend, memory_build, new_segments, apply_memory, apply_lookup_shuffled, apply_lookup_columns,
         translate_pairs, language_pairs, check_pair, lang_code, retry_outcome,
-        fallback_to_source, fail_policy_report, assemble_paragraphs, first_run, rewrite_runs,
+        fallback_to_source, fail_policy_report, run_report, assemble_paragraphs, first_run, rewrite_runs,
         translate_runs, docx_roundtrip, span_style, horizontal_rules, underlined_spans,
         assemble_lines, dominant_span, drop_text_in_tables, clean_table_cells, table_shape,
         table_row_roles, drop_empty_tables, merge_blocks, reading_order, reading_order_split,
