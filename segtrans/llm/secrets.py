@@ -93,9 +93,13 @@ def looks_random(token: str) -> bool:
 
 
 def text_bin(token: str) -> int:
-    """Binned p-value of the token's class switches if it were ordinary text: binomial upper tail."""
+    """Binned p-value of the token's class switches if it were ordinary text: binomial upper tail.
+
+    From a capital to a lower-case letter is no switch: so words begin.
+    """
     kinds = [_char_class(c) for c in token]
-    n, k = len(kinds) - 1, sum(a != b for a, b in zip(kinds, kinds[1:]))
+    n = len(kinds) - 1
+    k = sum(a != b and (a, b) != (1, 0) for a, b in zip(kinds, kinds[1:]))
     log_q, log_p = math.log(SWITCH), math.log1p(-SWITCH)
     whole = math.lgamma(n + 1)
     tail = sum(
