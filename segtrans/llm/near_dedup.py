@@ -7,8 +7,10 @@
    group of any size makes a star, not all pairs.
 3. Pairs whose signatures agree enough are confirmed on their full sets.
 4. Components come from alternating large-star and small-star steps.
-5. Buckets that still hold several components have the pairs between them
-   checked, so a link that misses every centre is found too.
+5. Where buckets still hold several components, a link may have missed every
+   centre. Classes that such buckets join form clusters; the members outside a
+   cluster's largest component are compared with all of it, in blocks of rows:
+   signatures first, as matrices, then full sets. Only links come out.
 """
 
 from __future__ import annotations
@@ -104,9 +106,14 @@ def _setter(k: int):
     return sets
 
 
-def _agreeing(threshold: int):
+def _agreement(threshold: int) -> int:
+    """How many minima of a pair near the threshold agree at least."""
     low = threshold / 100 - SLACK
-    needed = math.ceil(BANDS * ROWS * (low + (1 - low) / 256))  # minima are kept to a byte
+    return math.ceil(BANDS * ROWS * (low + (1 - low) / 256))  # minima are kept to a byte
+
+
+def _agreeing(threshold: int):
+    needed = _agreement(threshold)
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,6 +166,84 @@ def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, k: int, thres
         .mapInArrow(_confirmed(threshold), "a long, b long"), "near-links")
 
 
+BLOCK = 256  # classes to a block, about
+BLOCKED = "cluster long, i int, j int, outside boolean, id long, c long, minis binary, shingles binary"
+
+
+def _compared(threshold: int):
+    """Links between the two sides of each block pair, of rows sorted by pair."""
+    needed = _agreement(threshold)
+    key = ("cluster", "i", "j")
+
+    def links(rows: list[dict]) -> Iterator[tuple[int, int]]:
+        sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+        minis = np.frombuffer(b"".join(r["minis"] for r in rows), np.uint8).reshape(-1, BANDS * ROWS)
+        ids, comps = (np.array([r[c] for r in rows], np.int64) for c in ("id", "c"))
+        sizes = np.array([len(s) for s in sets])
+        all_of = np.flatnonzero([not r["outside"] for r in rows])
+        for x in np.flatnonzero([r["outside"] for r in rows]):
+            near = all_of[(comps[all_of] != comps[x])
+                          & (100 * np.minimum(sizes[all_of], sizes[x]) >= threshold * np.maximum(sizes[all_of], sizes[x]))]
+            near = near[(minis[near] == minis[x]).sum(axis=1) >= needed]
+            for y in near:
+                common = int(np.isin(sets[x], sets[y], assume_unique=True).sum())
+                if 100 * common >= threshold * (sizes[x] + sizes[y] - common):
+                    yield int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def found() -> pa.RecordBatch:
+            pairs = list(links(held))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and any(row[c] != held[0][c] for c in key):
+                    yield found()
+                    held = []
+                held.append(row)
+        if held:
+            yield found()
+
+    return compare
+
+
+def links_between(open_rows: DataFrame, signed: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links between the components ``c`` of ``open_rows(bucket, id, c)`` that share buckets.
+
+    Clusters are what shared buckets connect. With m of a cluster's n members
+    outside its largest component, m * n / BLOCK rows are sent, twice; a pair of
+    blocks is a task's unit, whatever the size of the cluster.
+    """
+    first = open_rows.groupBy("bucket").agg(F.min("id").alias("b"))
+    joined = open_rows.join(first, "bucket").select(F.col("id").alias("a"), "b")
+    clusters = components(joined).withColumnRenamed("component", "cluster")
+    members = written(open_rows.select("id", "c").distinct().join(clusters, "id"), "clustered")
+    sizes = members.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("main"))
+    blocks = sizes.select(
+        "cluster", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("of_all"),
+        F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("of_outside"))
+    texts = _semi(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), members.select("id"), "id")
+    sets = texts.mapInArrow(_setter(k), "id long, shingles binary")
+    full = written(
+        members.join(blocks, "cluster").join(signed.select("id", "minis"), "id").join(sets, "id"), "blocks")
+    h = F.xxhash64("id")
+    every = full.select(
+        "*", F.pmod(h, "of_all").cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("of_outside") - 1)).alias("i"),
+        F.lit(False).alias("outside"))
+    outside = full.where("c != main").select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)).alias("j"), F.pmod(h, "of_outside").cast("int").alias("i"),
+        F.lit(True).alias("outside"))
+    columns = [c.split()[0] for c in BLOCKED.split(", ")]
+    rows = outside.select(*columns).union(every.select(*columns))
+    return written(
+        rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+        .mapInArrow(_compared(threshold), "a long, b long"), "near-missed").distinct()
+
+
 def _unchanged(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 31))).first())
 
@@ -224,15 +309,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     links = verified(stars, distinct, docs, k, threshold)
     found = written(components(links), "components")
 
-    # Buckets of several components: the pairs between them that no star has had.
+    # Buckets of several components may hold links that no star has had.
     placed = met.select("bucket", "id").join(found, "id", "left").select(
         "bucket", "id", F.coalesce("component", "id").alias("c"))
     mixed_buckets = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     open_rows = written(placed.join(mixed_buckets.select("bucket"), "bucket"), "open")
-    left = open_rows.select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"))
-    right = open_rows.select("bucket", F.col("id").alias("y"), F.col("c").alias("cy"))
-    across = left.join(right, "bucket").where("cx < cy").select(*_pair("x", "y")).distinct()
-    missed = verified(across.join(stars, ["a", "b"], "left_anti"), distinct, docs, k, threshold)
+    missed = links_between(open_rows, distinct, docs, k, threshold)
     if not missed.isEmpty():
         found = written(components(links.union(missed)), "components")
 

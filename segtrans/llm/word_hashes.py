@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHED = 500_000  # words; a cache starts afresh beyond
+CACHED = 300_000  # words; a cache starts afresh beyond
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
