@@ -18,7 +18,7 @@ from segtrans.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge(docs, table(spark, sf_dir, "labels")).where("kept").select("doc.*")
+    return judge(docs, table(spark, sf_dir, "labels"), threshold=None).where("kept").select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def op4_histogram_sort(spark, sf_dir):
 
 
 def op5_ngram_likelihood_ratio(spark, sf_dir):
-    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=None)
     return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "score")
 

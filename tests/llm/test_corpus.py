@@ -149,6 +149,28 @@ def test_quality(spark, sf, docs):
         assert g.kept == (not g.base_failed and g.score >= quality.THRESHOLD)
 
 
+@pytest.mark.parametrize("size, scarce", [("sf0.001", None), ("sf0.01", None), ("sf0.01", "de"), ("sf0.01", "en")])
+def test_quality_keeps_clean_documents_at_every_size(spark, size, scarce):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet")
+    if scarce:
+        few = docs.where(f"lang = '{scarce}'").select("doc_id")
+        labels = labels.join(few, "doc_id", "left_anti").union(labels.join(few, "doc_id").orderBy("doc_id").limit(3))
+    rows = quality.judge(docs, labels, threshold=None).where("not base_failed").collect()
+    clean = [r for r in rows if r.n_symbols < 0.02 * len(r.doc.text)]
+    lost = [(r.doc.doc_id, r.doc.lang) for r in clean if not r.kept]
+    assert len(lost) <= 0.002 * len(clean), lost
+    if size == "sf0.01" and scarce != "en":
+        junk = [r for r in rows if r.n_symbols >= 0.02 * len(r.doc.text)]
+        assert sum(not r.kept for r in junk) >= 0.8 * len(junk)
+
+
+def test_a_language_without_trusted_documents_is_not_cut_by_smaller_ones():
+    fitted = {"a": [(0.01 * (i % 40), -0.5 - 0.01 * (i % 40)) for i in range(1000)], "b": [(-0.2, -0.9)]}
+    cuts, others = quality.language_cuts(fitted, {"a": 5000, "b": 20, "c": 9000, "d": 10})
+    assert cuts == {"a": 0, "b": pytest.approx(-0.89), "c": -math.inf} and others == pytest.approx(-0.89)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 5), (1000, 2000), (3000, 1 << 40), (3000, 1 << 63)):
