@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question asked again
 with other values keeps its template. Windows of template words are hashed and
 joined; on each alignment of a document with an item, the values in the
-placeholders must map consistently from one to the other.
+placeholders must map consistently from one to the other. Windows that hold
+placeholders also count as they stand, as literal lower-case words.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import text_of, words, written
 
 WINDOW = 8  # template words
-SHORTEST = 4  # an item of fewer words is no evidence
+SHORTEST = 4  # the template of an item of fewer words is no evidence, only its words
 NEEDED = 6  # windows of an item that must be met: 13 words in a row
 SMALL = 1_000_000  # benchmark windows that may be broadcast
 
@@ -45,11 +46,11 @@ def _steps(length: int) -> list[int]:
     return [1] if length == 1 else [*_steps(length // 2), length]
 
 
-def _longer(n: int) -> Column:
+def _longer(n: int, of: str) -> Column:
     """Hashes of n-word runs, in columns ``h1``, ``h2`` and so on; those past the end mean nothing."""
-    half = F.col(f"h{n // 2}")
+    half = F.col(f"{of}{n // 2}")
     even = F.transform(half, lambda h, i: F.xxhash64(h, F.get(half, i + n // 2)))
-    return F.transform(even, lambda h, i: F.xxhash64(h, F.get(F.col("h1"), i + n - 1))) if n % 2 else even
+    return F.transform(even, lambda h, i: F.xxhash64(h, F.get(F.col(f"{of}1"), i + n - 1))) if n % 2 else even
 
 
 def _window(n: int):
@@ -60,6 +61,14 @@ def _window(n: int):
     return window
 
 
+def _literal(n: int) -> Column:
+    """The windows of the words as they stand, where the template differs from them; null without placeholders."""
+    own = F.slice(f"l{n}", F.lit(1), F.greatest(F.size("canon") - n + 1, F.lit(0)))
+    found = F.transform(own, lambda h, i: F.when(h != F.get(F.col(f"h{n}"), i), F.struct(
+        i.alias("at"), F.xxhash64(F.lit(n), h).alias("h"), F.lit(None).cast("array<string>").alias("slots"))))
+    return F.coalesce(F.array_compact(found), F.array().cast("array<struct<at:int,h:bigint,slots:array<string>>>"))
+
+
 def _slots(canon: Column, plain: Column, at: Column, length: int) -> Column:
     """The document's values in the placeholders of one window."""
     values = F.zip_with(F.slice(canon, at + 1, F.lit(length)), F.slice(plain, at + 1, F.lit(length)),
@@ -75,12 +84,15 @@ def _windowed(df: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     text = text_of()
     df = df.select(*keep, words(text).alias("plain"), template(text).alias("canon"))
     df = df.select(*keep, "plain", words(F.col("canon")).alias("canon"), F.col("canon").rlike(PLACEHOLDER).alias("has"))
-    df = df.select(*keep, "plain", "canon", "has", F.transform("canon", lambda w: F.xxhash64(w)).alias("h1"))
+    literal = F.zip_with("canon", "plain", lambda c, p: F.xxhash64(F.when(
+        c.rlike(PLACEHOLDER), F.lower(F.regexp_replace(p, CLOSING_RE, ""))).otherwise(c)))
+    df = df.select(*keep, "plain", "canon", "has", F.transform("canon", lambda w: F.xxhash64(w)).alias("h1"),
+                   F.when(F.col("has"), literal).alias("l1"))
     # Each step is a column of its own, or Spark would work it out once per use.
     for n in sorted({m for length in lengths for m in _steps(length)} - {1}):
-        df = df.withColumn(f"h{n}", _longer(n))
+        df = df.withColumns({f"h{n}": _longer(n, "h"), f"l{n}": _longer(n, "l")})
     parts = [F.transform(F.slice(f"h{n}", F.lit(1), F.greatest(F.size("canon") - n + 1, F.lit(0))), _window(n))
-             for n in lengths]
+             for n in lengths] + [_literal(n) for n in lengths]
     found = df.select(*keep, F.size("canon").alias("n_words"), F.explode_outer(F.concat(*parts)).alias("w"))
     return found.where("w is not null").select(*keep, "n_words", "w.at", "w.h", "w.slots")
 
@@ -89,21 +101,30 @@ def item_windows(benchmark: DataFrame, window: int) -> tuple[DataFrame, list[int
     """Windows of the items, and the window lengths in use.
 
     Items of equal text count as one, the least id. An item shorter than a
-    window is one window of its own length. Windows of more placeholders than
-    words are no evidence and left out.
+    window is one window of its own length. A window with placeholders is there
+    twice, as template and as it stands; only the latter if it has more
+    placeholders than words, or the item fewer than ``SHORTEST`` words. The
+    first window is also there as it reads within a sentence, where a
+    capitalised first word is a name.
     """
     items = benchmark.where("text is not null").groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
     n = F.size(words(F.col("text")))
-    sized = written(items.withColumn("length", F.least(n, F.lit(window))).where(F.col("length") >= SHORTEST), "items")
-    lengths = sorted(r[0] for r in sized.select("length").distinct().collect())  # at most window - 3 numbers
+    sized = written(items.withColumn("length", F.least(n, F.lit(window))).where(F.col("length") > 0), "items")
+    lengths = sorted(r[0] for r in sized.select("length").distinct().collect())  # at most window numbers
+    within = sized.withColumn("text", F.concat(F.lit("x "), "text"))
     parts = [_windowed(sized.where(F.col("length") == n), [n], "item_id", "length") for n in lengths]
+    parts += [
+        _windowed(within.where(F.col("length") == n), [n], "item_id", "length").where("at = 1").withColumns(
+            {"at": F.col("at") - 1, "n_words": F.col("n_words") - 1})
+        for n in lengths]
     if not parts:
         return _windowed(sized, [window], "item_id", "length"), [window]
     found = parts[0]
     for part in parts[1:]:
         found = found.union(part)
-    literal = F.coalesce(F.size("slots"), F.lit(0)) * 2 <= F.col("length")
-    return found.where(literal), lengths
+    n_slots = F.greatest(F.size("slots"), F.lit(0))
+    evident = (n_slots == 0) | ((n_slots * 2 <= F.col("length")) & (F.col("length") >= SHORTEST))
+    return found.where(evident).dropDuplicates(["item_id", "at", "h"]), lengths
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, needed: int = NEEDED) -> DataFrame:
@@ -113,7 +134,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, needed: i
     ``first_word, last_word`` (in the document, the latter exclusive), ``changed``
     (some placeholder holds another value) and ``row_hash`` (of id and text). A
     pair is returned if at least ``needed`` windows of the item, or all if it has
-    fewer, are met on alignments with consistent values: a value of the item
+    fewer, are met, as template or as they stand, on alignments with consistent values: a value of the item
     always stands for one value of the document. Null or empty texts hold
     nothing; a null ``doc_id`` stays null; repeated rows give a pair each; empty
     tables give no rows. Other columns are not read.

@@ -139,6 +139,20 @@ def test_templates(spark):
     assert kept == {3, 4, 5}
 
 
+def test_first_words_are_met_within_a_sentence(spark):
+    river = "Which river flows through the city of Paris and Rouen?"
+    short = "Name the river of Rouen"
+    bench = spark.createDataFrame([(1, river), (2, short), (3, "Rivers of France")], "item_id long, text string")
+    rows = [(n, lead + text) for n, (lead, text) in enumerate(
+        [(lead, text) for text in (river, short) for lead in ("", "Intro text. ", "Question 5\n", "He asked ")])]
+    rows += [(10, "He asked " + river.replace("Paris", "Lyon")), (11, "the rivers of France, again"),
+             (12, "the rivers of Spain"), (13, "Three rivers of Francesca")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(got) == {*((n, 1) for n in range(4)), *((n, 2) for n in range(4, 8)), (10, 1), (11, 3)}
+    assert got[10, 1].changed and not got[3, 1].changed and got[3, 1].n_windows == got[3, 1].item_windows == 3
+
+
 def test_every_verbatim_leak_is_found(spark, sf, docs):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = {r.item_id: r.text.split() for r in bench.collect()}
