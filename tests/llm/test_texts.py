@@ -153,6 +153,15 @@ def test_first_words_are_met_within_a_sentence(spark):
     assert got[10, 1].changed and not got[3, 1].changed and got[3, 1].n_windows == got[3, 1].item_windows == 3
 
 
+def test_items_of_mostly_placeholders_are_met_as_they_stand(spark):
+    item = "Add 12 34 56 78 90 and 11 13 15 17."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item), (2, "Please: " + item + " Thanks."), (3, item.replace("34", "35").replace("13", "14"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(got) == {1, 2} and got[1].n_windows == got[1].item_windows == 4 and not got[1].changed
+
+
 def test_every_verbatim_leak_is_found(spark, sf, docs):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = {r.item_id: r.text.split() for r in bench.collect()}
