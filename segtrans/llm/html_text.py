@@ -49,14 +49,16 @@ DROPPED_NAMES = frozenset(
     "navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notification popup modal overlay "
     "newsletter subscribe subscription login signup comment comments respond disqus social share sharing related "
     "recommended widget toolbar pagination pager masthead".split())
+NAMED_WEIGHT = 2  # so much denser than the rest is an article in a node of such a name
+NESTED = 20
 SITE_HEADERS = frozenset(("header",))  # as element or name, unless inside an article
 
 
 class Node:
-    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.items = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, named: bool = False):
+        self.tag, self.parent, self.items, self.named = tag, parent, [], named
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -69,20 +71,21 @@ def _in_article(node: Node | None) -> bool:
     return False
 
 
-def _dropped(tag: str, attributes: str, parent: Node) -> bool:
+def _dropped(tag: str, attributes: str, parent: Node) -> tuple[bool, bool]:
+    """Whether an element is dropped for what it is, and whether its names speak against it."""
     if tag in KEPT:
-        return False
+        return False, False
     if tag in DROPPED or (tag in SITE_HEADERS and not _in_article(parent)):
-        return True
+        return True, False
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return False, False
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if values.get("role", "").lower() in DROPPED_ROLES or values.get("aria-hidden") == "true":
-        return True
+        return True, False
     if re.search(r"display\s*:\s*none", values.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
-        return True
+        return True, False
     parts = {p.lower() for p in NAME_PART.findall(values.get("class", "") + " " + values.get("id", ""))}
-    return bool(parts & DROPPED_NAMES) or bool(parts & SITE_HEADERS and not _in_article(parent))
+    return False, bool(parts & DROPPED_NAMES) or bool(parts & SITE_HEADERS and not _in_article(parent))
 
 
 def parse(page: str) -> list[Node]:
@@ -144,18 +147,70 @@ def parse(page: str) -> list[Node]:
                 up = up.parent
             if last:
                 here = last.parent
-        if _dropped(name, tag[3], here):
+        dropped, named = _dropped(name, tag[3], here)
+        if dropped:
             here.items.append(Node("", here) if name in BLOCKS else " ")  # it still parts blocks
             if name not in VOID and not tag[3].endswith("/"):
                 skipped.append(name)
             continue
-        node = Node(name, here)
+        node = Node(name, here, named)
         here.items.append(node)
         nodes.append(node)
         if name not in VOID:
             here = node
 
 
+def _settle_outermost(nodes: list[Node]) -> list[Node]:
+    """Drop or keep the outermost named nodes; those inside a kept one are left for the next turn."""
+    weigh(nodes)
+    outer: dict[int, Node | None] = {}  # the outermost named node around each node
+    best: dict[int, float] = {}  # greatest sum in each of these
+    rest: dict[int, float] = {}  # sums of the other nodes, without the named ones
+    holders = set()
+    for node in nodes:
+        outer[id(node)] = top = (outer[id(node.parent)] if node.parent else None) or (node if node.named else None)
+        if top:
+            best[id(top)] = max(best.get(id(top), 0.0), node.sum, node.density)
+            if node.tag in ARTICLES and node.chars and not _in_article(node.parent):
+                holders.add(id(top))
+        elif node.parent:
+            rest[id(node.parent)] = rest.get(id(node.parent), 0.0) + node.density
+    least = NAMED_WEIGHT * max(rest.values(), default=0.0)
+    gone, at = set(), {}
+    for node in nodes:
+        if node.parent and id(node.parent) in gone:
+            gone.add(id(node))
+        elif outer[id(node)] is node:
+            if id(node) in holders or best[id(node)] > least:
+                node.named = False
+            else:
+                gone.add(id(node))
+                at[id(node.parent)] = node.parent
+    for parent in at.values():
+        parent.items = [
+            (Node("", parent) if x.tag in BLOCKS else " ") if isinstance(x, Node) and id(x) in gone else x
+            for x in parent.items]  # it still parts blocks
+    found = [n for n in nodes if id(n) not in gone]
+    for node in found:
+        node.chars = node.link_chars = node.tags = node.link_tags = 0
+        node.density = node.sum = 0.0
+    return found
+
+
+def settle(nodes: list[Node]) -> list[Node]:
+    """The nodes without those whose names mark them, unless such a node is a wrapper of the article.
+
+    It is one if it holds an ``article`` or ``main`` that is in no other, or if
+    the greatest density sum in it is more than ``NAMED_WEIGHT`` times that of
+    the rest. Beyond ``NESTED`` named nodes one in another, names mean nothing.
+    """
+    for _ in range(NESTED):
+        if not any(n.named for n in nodes):
+            break
+        nodes = _settle_outermost(nodes)
+    return nodes
+
+
 def weigh(nodes: list[Node]) -> None:
     """Composite densities and their sums, children before parents."""
     for node in reversed(nodes):
@@ -240,7 +295,7 @@ def blocks(node: Node) -> Iterator[str]:
                 continue
         if item.tag == "br":
             parts.append(" ")
-        if item is not node and _is_link_list(item):
+        if not node.parent and item is not node and _is_link_list(item):  # a menu; links in an article are its text
             continue
         if item.tag in BLOCKS:
             stack.append(None)
@@ -254,7 +309,7 @@ def main_text(page: str | None) -> str:
     """The article of a page; empty if there is no page or no text in it."""
     if not page:
         return ""
-    nodes = parse(page)
+    nodes = settle(parse(page))
     weigh(nodes)
     return "\n\n".join(text for node in choose(nodes) for text in blocks(node))
 

@@ -76,6 +76,20 @@ def test_main_text():
     assert main_text("just text") == "just text"
 
 
+@pytest.mark.parametrize("names", ["class='page has-sidebar'", "class='layout with-menu'", "class=no-comments",
+                                   "class=share-price", "id=related-work"])
+def test_names_do_not_drop_the_wrapper_of_the_article(names):
+    body = "<p>" + "Long text of the article, sentence after sentence. " * 5 + "</p>"
+    side = "<div class=sidebar><p>Latest posts of this site</p></div><div class=comments><p>I was first</p></div>"
+    links = "<ul><li><a href=1>Source one</a></li><li><a href=2>Source two</a></li><li><a href=3>Source three</a></li></ul>"
+    for inner in (f"<article>{body * 2}{links}</article>", f"<main>{body * 2}{links}</main>", f"<div>{body * 2}</div>"):
+        for page in (f"<div {names}>{inner}{side}</div>", f"<p>x</p><div class=wrap><div {names}>{inner}{side}</div></div>",
+                     f"<div {names}><div class='with-ads'>{inner}</div>{side}</div>"):
+            got = main_text(page)
+            assert got.count("Long text") == 10 and "first" not in got and "Latest" not in got
+            assert ("Source two" in got) == ("<ul>" in inner)
+
+
 def naive_base(text):
     patterns = (
         ("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
