@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.langs import check_pair
-from ..functions.text import ident
 from ..operators.backends import Backend, make_backend
 from ..operators.memory import TranslationMemory, apply_lookup_columns
 from ..operators.segments import cells_of, count_segments
@@ -94,6 +93,6 @@ def translate_csv_files(
         for names, table in tables:
             long = table.where(F.col(EXTRA).isNotNull())
             rejects = rejects.union(long.select(
-                decoded_path(F.col(DOC)), F.lit(LONG_ROW), F.to_json(F.array(*map(ident, names), F.col(EXTRA)))))
+                decoded_path(F.col(DOC)), F.lit(LONG_ROW), F.to_json(F.col(EXTRA))))
     rejects.write.mode("overwrite").parquet(f"{out_dir}/{REJECTED}")
     return out_dir

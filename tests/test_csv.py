@@ -2,6 +2,7 @@
 
 import csv
 import glob
+import json
 from urllib.parse import unquote
 
 import pytest
@@ -125,6 +126,20 @@ def test_nothing_is_lost_in_a_folder(spark, tmp_path):
         ("my file+1.csv", "a row longer than its header", '["3","4","too long"]')}
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_rows_longer_than_their_header_are_listed_whole(spark, tmp_path, multi_line):
+    long = ['1,title,,stuff', '2,title,too,long,"and ""so"", on"', '3,title,,,far']
+    lines = ["id,title", *long, "4,kept", "5", "6,kept,", '"7","a, b"']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "l.csv").write_text("\n".join(lines) + "\n")
+    out = translate_csv_files(spark, f"{tmp_path}/in", f"{tmp_path}/out", "en", "ne", multi_line=multi_line)
+    m = "[MOCK:ne] "
+    assert written(f"{out}/_output=l_translated_ne.csv")[1] == [
+        [m + "4", m + "kept"], [m + "5", ""], [m + "6", m + "kept"], [m + "7", m + "a, b"]]
+    listed = [json.loads(r.row) for r in spark.read.parquet(f"{out}/_rejected").collect()]
+    assert sorted(listed) == list(csv.reader(long))
+
+
 def test_equal_export_names_are_refused(spark, tmp_path):
     from segtrans.sinks.files import export_files
 
