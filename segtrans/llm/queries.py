@@ -15,6 +15,7 @@ from .passages import repeated_passages
 from .quality import judge
 from .secrets import find_secrets, joined
 from .sharding import histogram_sort
+from .spelling import spelling_variants
 
 
 def tokenizer() -> dict[str, str]:
@@ -76,9 +77,13 @@ def op10_sparse_suffix_array(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_packing, op2_composite_text_density,
                                    op3_template_decontamination, op4_histogram_sort,
                                    op5_ngram_likelihood_ratio, op6_elias_fano_trie,
                                    op7_mixing,
                                    op8_minhash_near_dedup, op9_randomness_battery,
-                                   op10_sparse_suffix_array)}
+                                   op10_sparse_suffix_array, op11_spelling_variants)}
