@@ -9,9 +9,11 @@ from .decontaminate import leaks
 from .html_text import extract_pages
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .neighbours import nearest
 from .ngram_trie import score_texts
 from .packing import pack_tokens
 from .passages import repeated_passages
+from .prefix_trie import prefix_trie
 from .quality import judge
 from .secrets import find_secrets, joined
 from .sharding import histogram_sort
@@ -81,9 +83,18 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_balanced_parentheses_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_block_matrix_neighbours(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_packing, op2_composite_text_density,
                                    op3_template_decontamination, op4_histogram_sort,
                                    op5_ngram_likelihood_ratio, op6_elias_fano_trie,
                                    op7_mixing,
                                    op8_minhash_near_dedup, op9_randomness_battery,
-                                   op10_sparse_suffix_array, op11_spelling_variants)}
+                                   op10_sparse_suffix_array, op11_spelling_variants,
+                                   op12_balanced_parentheses_trie, op13_block_matrix_neighbours)}
