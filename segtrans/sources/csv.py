@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import ident, normalize_missing
+from .csv_records import DOC, POS
 
-DOC, POS = "_doc", "_pos"
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "enforceSchema": False}
 
 
@@ -48,72 +43,6 @@ def read_csv_cells(
     return raw.select(*cells)
 
 
-EXTRA = "_extra"
-RECORD = "_record"
-FILE_FIELDS = (DOC, POS, EXTRA, RECORD)
-
-
-def csv_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(path, header, lines)`` of each file: the header line, and how many lines there are."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"), "value",
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
-    )
-    return lines.groupBy("path").agg(
-        F.regexp_replace(F.min_by("value", "at"), "^\ufeff", "").alias("header"),
-        F.count(F.lit(1)).alias("lines"),
-    )
-
-
-def column_names(header: str) -> list[str]:
-    """The names in a header line; a repeated one gets a number, as ``a``, ``a.1``."""
-    names, seen = [], {}
-    for name in next(csv.reader([header]), []):
-        if name in FILE_FIELDS:
-            raise ValueError(f"rename this column, its name is reserved: {name}")
-        again = seen.get(name, 0)
-        seen[name] = again + 1
-        names.append(f"{name}.{again}" if again else name)
-    return names
-
-
-def _surplus_cells(width: int):
-    """The cells of each record that has any text beyond ``width`` cells, as a column function; else null."""
-
-    @F.pandas_udf("array<string>")
-    def cells(records: pd.Series, _first: pd.Series) -> pd.Series:
-        def split(record: str | None) -> list[str] | None:
-            found = next(csv.reader(io.StringIO(record, newline="")), []) if record else []
-            return found if any(found[width:]) else None
-
-        return records.map(split)
-
-    return cells
-
-
-def read_csv_group(spark: SparkSession, paths: list[str], names: list[str],
-                   multi_line: bool = True) -> DataFrame:
-    """Rows of files of one header: their columns, ``_doc``, ``_pos`` and ``_extra``.
-
-    A short row is filled up with missing values, empty cells beyond the header
-    are nothing. ``_extra`` has all cells of a row with more than that; such a
-    row is not a row of the table.
-    """
-    read = names or [EXTRA]  # Spark refuses to read the record alone
-    schema = StructType([StructField(n, StringType()) for n in [*read, RECORD]])
-    surplus = _surplus_cells(len(names))(F.col(RECORD), ident(read[0]))
-    raw = (
-        spark.read.schema(schema).options(**{**CSV_OPTIONS, "enforceSchema": True})
-        .option("multiLine", multi_line).option("mode", "PERMISSIVE")
-        .option("columnPruning", False)  # all cells are counted, whatever is read
-        .option("columnNameOfCorruptRecord", RECORD).csv(paths)  # set where the number of cells is another
-    )
-    return raw.select(
-        *[normalize_missing(ident(n)).alias(n) for n in names], surplus.alias(EXTRA),
-        F.col("_metadata.file_path").alias(DOC), F.monotonically_increasing_id().alias(POS),
-    )
-
-
 def normalize_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing-value spellings to NULL in the named columns of any table."""
     return df.select(*[

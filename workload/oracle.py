@@ -154,7 +154,9 @@ CSV_FOLDER = f"""SELECT {_NAME} || '_translated_ne.csv' AS name, '[MOCK:ne] ' ||
   FROM part WHERE p_partkey % 6 <> 5 AND (p_partkey % 2 = 0 OR p_partkey % 7 = 0 OR p_partkey % 11 <> 0)
   UNION ALL SELECT {_NAME} || '.csv', 'a row longer than its header', p_partkey::VARCHAR, NULL
   FROM part WHERE p_partkey % 6 <> 5 AND p_partkey % 2 = 1 AND p_partkey % 7 <> 0 AND p_partkey % 11 = 0
-  UNION ALL SELECT DISTINCT {_NAME} || '.txt', 'unknown suffix', NULL, NULL FROM part WHERE p_partkey % 6 = 5"""
+  UNION ALL SELECT DISTINCT {_NAME} || '.txt', 'unknown suffix', NULL, NULL FROM part WHERE p_partkey % 6 = 5
+  UNION ALL SELECT 'z/a[' || (p_partkey % 3) || ']{{1}}_translated_ne.csv', '[MOCK:ne] ' || p_partkey,
+    '[MOCK:ne] ' || p_type || chr(10) || '"', '[MOCK:ne] ' || p_name FROM part"""
 _DOCX = "CASE WHEN doc_id % 2 = 0 THEN 'x/' ELSE 'y/' END || 'doc ' || (doc_id // 2)"
 DOCX_FOLDER = f"""WITH {LINES} SELECT {_DOCX} || '_translated_ne.docx' AS name,
     CASE WHEN line_idx % 8 >= 6 THEN (line_idx // 8)::INT END AS table_idx,
@@ -351,6 +353,10 @@ def sql() -> dict[str, str]:
         "csv_one_column": f"""SELECT CASE WHEN v IN ({NA}) THEN NULL ELSE {mock('v')} END AS v
             FROM (SELECT {missing_name()} AS v FROM customer)""",
         "csv_folder": CSV_FOLDER,
+        "csv_order": """SELECT 'f' || (o_orderkey % 5) || '_translated_ne.csv' AS name, '[MOCK:ne] ' || o_orderkey AS cell,
+            CAST(row_number() OVER (PARTITION BY o_orderkey % 5 ORDER BY o_orderkey) AS INT) AS place FROM orders""",
+        "stream_csv": f"""SELECT CAST(event_id AS VARCHAR) AS event_id, {mock('event_type')} AS event_type,
+            CASE WHEN props IN ({NA}) THEN NULL ELSE props END AS props FROM events""",
         "docx_folder": DOCX_FOLDER,
         "stream_translate": f"""SELECT event_id, {mock('event_type')} AS event_type,
             {mock('props')} AS props FROM events""",

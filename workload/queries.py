@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segtrans.functions import files as fx
@@ -22,6 +22,7 @@ from segtrans.session import new_work_dir
 from segtrans.sinks.csv import write_csv_bom
 from segtrans.sinks.files import export_files
 from segtrans.sources import csv as csv_src
+from segtrans.sources import csv_records as csv_rec
 from segtrans.sources import docx as docx_src
 from segtrans.sources import files as file_src
 from segtrans.streaming.translate import stream_translate
@@ -461,7 +462,9 @@ def csv_folder(spark, sf):
     """Folders with files of equal names and other headers, short and long rows, and a text file.
 
     ``x`` has a column ``File``; in ``y`` every seventh row is short and every
-    eleventh too long. The result is what comes out, by output and first cell.
+    eleventh too long. ``z`` has brackets in its names, an empty first line, names
+    that differ in case only, and one with a line break. The result is what comes
+    out, by output and first cell.
     """
     work = new_work_dir(spark, "csv-folder")
     key = F.col("p_partkey")
@@ -472,7 +475,11 @@ def csv_folder(spark, sf):
     name = F.concat(F.when(in_x, "x").otherwise("y"), F.lit("/my +file "), (key % 6).cast("string"),
                     F.when(key % 6 == 5, ".txt").otherwise(".csv"))
     header = F.when(F.startswith("name", F.lit("x")), "id,File,kind").otherwise("id,title")
-    rows = _part(spark, sf).select(name.alias("name"), line.alias("line"))
+    odd_name = F.concat(F.lit("z/a["), (key % 3).cast("string"), F.lit("]{1}.csv"))
+    odd_line = F.concat_ws(",", key, F.concat(F.lit('"'), "p_type", F.lit('\n"""')), "p_name")
+    odd = _part(spark, sf).select(odd_name.alias("name"), odd_line.alias("line"))
+    rows = _part(spark, sf).select(name.alias("name"), line.alias("line")).union(odd)
+    header = F.when(F.startswith("name", F.lit("z")), '\nName,"two\nlines",name').otherwise(header)
     content = F.concat(header, F.lit("\n"), F.array_join(F.sort_array(F.collect_list("line")), "\n"))
     export_files(rows.groupBy("name").agg(F.encode(content, "utf-8").alias("content")), f"{work}/in", "name")
     csv_files.translate_csv_files(spark, f"{work}/in", f"{work}/out", "en", "ne")
@@ -484,10 +491,32 @@ def csv_folder(spark, sf):
 
     rejected = spark.read.parquet(f"{work}/out/{file_src.REJECTED}").select(
         F.element_at(F.split("path", "/in/"), -1).alias("name"), "reason", F.get_json_object("row", "$[0]"), F.lit(None))
-    return read("x", ["id", "File", "kind"]).union(read("y", ["id", "title"])).withColumnRenamed(
+    z = spark.read.option("basePath", f"{work}/out").schema(f"a string, b string, c string, {csv_files.OUTPUT} string").csv(
+        f"{work}/out/_output=z*", header=True, multiLine=True, enforceSchema=True, escape='"').select(csv_files.OUTPUT, "a", "b", "c")
+    return read("x", ["id", "File", "kind"]).union(read("y", ["id", "title"])).union(z).withColumnRenamed(
         csv_files.OUTPUT, "name").union(rejected)
 
 
+def csv_order(spark, sf):
+    """The place of each row in its output file: the order of the input is kept."""
+    work = new_work_dir(spark, "csv-order")
+    orders = d.table(spark, sf, "orders")
+    line = F.struct("o_orderkey", F.concat_ws(",", "o_orderkey", F.concat(F.lit('"'), "o_orderstatus", F.lit('\n"'))).alias("line"))
+    lines = F.transform(F.sort_array(F.collect_list(line)), lambda r: r["line"])
+    files = orders.groupBy((F.col("o_orderkey") % 5).cast("string").alias("n")).agg(
+        F.concat(F.lit("key,status\n"), F.array_join(lines, "\n")).alias("content"))
+    export_files(files.select(F.concat(F.lit("f"), "n", F.lit(".csv")).alias("name"), F.encode("content", "utf-8").alias("content")),
+                 f"{work}/in", "name")
+    csv_files.translate_csv_files(spark, f"{work}/in", f"{work}/out", "en", "ne")
+    records = csv_rec.read_csv_records(spark, f"{work}/out")
+    parts = csv_files.csv_tables(records).select(csv_rec.DOC, "head_pos")
+    rows = records.join(parts, csv_rec.DOC).where(F.col(csv_rec.POS) > F.col("head_pos"))
+    name = F.regexp_extract(file_src.decoded_path(F.col(csv_rec.DOC)), "_output=([^/]*)/", 1)
+    place = F.row_number().over(Window.partitionBy("name").orderBy(csv_rec.DOC, csv_rec.POS))
+    return rows.select(name.alias("name"), csv_rec.DOC, csv_rec.POS, F.get("cells", F.lit(0)).alias("cell")).select(
+        "name", "cell", place.alias("place"))
+
+
 def docx_folder(spark, sf):
     """A folder of DOCX files with tables, one broken, and equal names in two folders."""
     work = new_work_dir(spark, "docx-folder")
@@ -528,6 +557,21 @@ def stream_translated(spark, sf):
     return _stream_events(spark, sf)[1].select("event_id", "event_type", "props")
 
 
+def stream_csv(spark, sf):
+    """Events arriving as CSV files of two headers, translated as they come."""
+    work = new_work_dir(spark, "stream-csv")
+    events = d.table(spark, sf, "events").select("event_id", "event_type", "props").withColumn("event_id", F.col("event_id").cast("string"))
+    odd = F.col("event_id").cast("long") % 2 == 1
+    write_csv_bom(events.where(~odd).repartition(2, "event_id"), f"{work}/in")
+    write_csv_bom(events.where(odd).select("props", "event_type", "event_id").repartition(2, "event_id"), f"{work}/in", mode="append")
+    stream = csv_rec.stream_csv_cells(spark, f"{work}/in", ["event_id", "event_type", "props"], files_per_batch=2)
+    stream_translate(
+        stream, "en", "ne", memory=mem.TranslationMemory(spark, f"{work}/memory"), out_path=f"{work}/out",
+        checkpoint=f"{work}/checkpoint", columns=["event_type"],
+    ).awaitTermination()
+    return spark.read.parquet(f"{work}/out").where("_extra is null").select("event_id", "event_type", "props")
+
+
 def stream_memory(spark, sf):
     """Rows of the memory per text: one, however many batches the text is in."""
     memory, _ = _stream_events(spark, sf)
@@ -549,7 +593,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         translate_layout_cells, page_breaks, empty_pages, reflow_plan, reflow_cells,
         reassemble_text, list_files, size_guard, output_name, preview, preview_lines,
         sentence_segments, translate_by_sentence, sentence_failures, csv_roundtrip, csv_one_column,
-        csv_folder, docx_folder, stream_memory,
+        csv_folder, csv_order, docx_folder, stream_csv, stream_memory,
     )
 }
 QUERIES["parse_response"] = parse_reply_log
