@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_translatable
+from .filters import share
 
 OK = "ok"
 FAILED = "failed"
@@ -240,8 +241,8 @@ def run_backend(segments: DataFrame, backend: Backend, parallel_calls: int | Non
     ceiling on concurrent calls (by default the cores of the cluster). Beyond the
     cores each task keeps several calls going in threads; partitions are then
     several to a core, so a lost task repeats a small part of the calls. Below,
-    the number of partitions is the ceiling. Partitioning is by the text, hence
-    the same after a retry, and even because texts are distinct.
+    the number of partitions is the ceiling. A partition is a range of the hash of
+    its texts, hence the same after a retry, and even because texts are distinct.
     """
     text, src, tgt = F.col("segment"), F.col("src_lang"), F.col("tgt_lang")
     expr = backend.as_column(text, src, tgt)
@@ -256,7 +257,7 @@ def run_backend(segments: DataFrame, backend: Backend, parallel_calls: int | Non
     ceiling = parallel_calls or cores
     threads = max(1, ceiling // cores)
     tasks = ceiling if ceiling <= cores else cores * TASKS_PER_CORE
-    segments = segments.repartition(tasks, "src_lang", "tgt_lang", "segment")
+    segments = segments.repartitionById(tasks, share(tasks))
 
     def in_threads(pool: ThreadPoolExecutor, texts: list[str], src: str, tgt: str) -> list[Result]:
         share = -(-len(texts) // threads)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 from functools import reduce
@@ -11,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ident, is_translatable, segment_hash
-from ..session import new_work_dir, path_exists, run_id, with_int
+from ..session import new_work_dir, run_id, with_int
 from .backends import OK, Backend, run_backend
+from .filters import BITS_PER_TEXT, BUCKETS, FILTERS, bucket, buckets_of_share, filters_of, probe, share
+from .manifest import Manifest
 from .segments import SEGMENT_KEY, new_segments
 
 # A lookup is broadcast up to this many bytes of text; its size is measured
@@ -27,77 +30,203 @@ MEMORY_SCHEMA = (
     "segment string, translation string, status string, attempts int, error string, "
     "src_lang string, tgt_lang string, backend string, batch_id string"
 )
-PARTITIONS = ["src_lang", "tgt_lang", "backend", "batch_id"]
+PAIR = ["src_lang", "tgt_lang"]
+# Sixteen batches of about one size are merged into one, so a text is rewritten
+# as often as its memory has grown sixteenfold, and few files hold a bucket.
+MERGED_AT = 16
+FEW_ROWS = 50_000  # of a memory, counted: read rather than asked by filters
+EVERYWHERE = (0, BUCKETS - 1)
+TEXTS_PER_FILE = 200_000
+TEXTS_PER_TASK = 5_000
+FILTER_BYTES = 32 << 20  # of filters in a task that tests texts
 
 
 class TranslationFailed(RuntimeError):
     """Some segments failed and the policy is to stop."""
 
 
-class TranslationMemory:
-    """Parquet table of finished calls, partitioned by direction, backend and batch.
+class Fenced(RuntimeError):
+    """Another run of the same query has taken over."""
+
 
-    One batch is one partition and is overwritten as a whole, so running a batch
-    again replaces its rows and never doubles them. Rows of failed calls are kept
-    for the report, but are not translations: ``read`` leaves them out, and the
-    next run tries these texts again.
+class TranslationMemory:
+    """Finished calls in files of hash buckets, with a manifest of the files that count.
+
+    A batch is written to a folder of its own and counts from the moment the
+    manifest names it, in place of an earlier batch of the same id, so running a
+    batch again never doubles its rows. The manifest knows of each file its
+    direction and run of buckets: reading some buckets opens only files that
+    have them. Beside each batch lie Bloom filters of its files, by which most
+    new texts are told without reading any. Batches are merged as they get many;
+    what is no longer named is left to whoever owns the folder. Rows of failed
+    calls are kept for the report, but are not translations: ``read`` leaves them
+    out, and the next run tries these texts again.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.manifest = Manifest(spark, f"{path}/_manifest", {"entries": [], "epochs": {}})
 
     def exists(self) -> bool:
-        return path_exists(self.spark, self.path)
-
-    def _rows(self, backend: str | None) -> DataFrame:
-        if self.exists():
-            rows = self.spark.read.schema(MEMORY_SCHEMA).parquet(self.path)
-        else:
-            rows = self.spark.createDataFrame([], MEMORY_SCHEMA)
-        return rows.where(F.col("backend") == backend) if backend else rows
+        return self.manifest.exists()
+
+    def entries(self, backend: str | None = None) -> list[dict]:
+        return [e for e in self.manifest.read()[1]["entries"] if backend in (None, e["backend"])]
+
+    def files(self, backend: str | None = None, *, before_batch: str | None = None,
+              batches: list[str] | None = None, pairs: list[tuple[str, str]] | None = None,
+              buckets: list[int] | None = None, entries: list[dict] | None = None) -> list[str]:
+        """The files that can have rows of these batches, directions and buckets."""
+        found = []
+        for entry in self.entries(backend) if entries is None else entries:
+            if entry["batch"] == before_batch or (batches is not None and entry["batch"] not in batches):
+                continue
+            for file, src, tgt, low, high, _ in entry["files"]:
+                if pairs is not None and (src, tgt) not in pairs:
+                    continue
+                if buckets is None or any(low <= b <= high for b in buckets):
+                    found.append(f"{self.path}/data/{file}")
+        return found
+
+    def _rows(self, files: list[str]) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], MEMORY_SCHEMA)
+        rows = self.spark.read.schema(MEMORY_SCHEMA).option("basePath", f"{self.path}/data").parquet(*files)
+        return rows.select(*[f.split()[0] for f in MEMORY_SCHEMA.split(", ")])
 
     def read(self, backend: str | None = None, before_batch: str | None = None,
-             pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+             pairs: list[tuple[str, str]] | None = None, buckets: list[int] | None = None,
+             batches: list[str] | None = None) -> DataFrame:
         """Good translations; ``before_batch`` leaves that batch's own rows out.
 
-        Backend, directions and batch are partitions, so only those are listed.
+        Only files of the backend, the directions and the ``buckets`` are opened.
         """
-        rows = self._rows(backend).where(F.col("status") == OK)
+        rows = self._rows(self.files(
+            backend, before_batch=before_batch, batches=batches, pairs=pairs, buckets=buckets)).where(F.col("status") == OK)
         if before_batch:
             rows = rows.where(F.col("batch_id") != before_batch)
         if pairs:
             same = [(F.col("src_lang") == s) & (F.col("tgt_lang") == t) for s, t in pairs]
             rows = rows.where(reduce(or_, same))
-        return rows
+        return rows if buckets is None else rows.where(bucket("segment").isin(buckets))
 
     def failures(self, batch_id: str | None = None) -> DataFrame:
-        rows = self._rows(None).where(F.col("status") != OK)
+        rows = self._rows(self.files()).where(F.col("status") != OK)
         return rows.where(F.col("batch_id") == batch_id) if batch_id else rows
 
-    def write_batch(self, results: DataFrame, backend: str, batch_id: str) -> None:
-        (
-            results.select(
-                "segment", "translation", "status", "attempts", "error", "src_lang", "tgt_lang",
-                F.lit(backend).alias("backend"), F.lit(batch_id).alias("batch_id"),
-            )
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PARTITIONS)
-            .parquet(self.path)
-        )
-
-    def compact(self, backend: str, batch_id: str, files: int) -> str:
-        """Copy of the memory with one row per text, in ``files`` files per direction."""
-        target = f"{self.path}-compact-{run_id()}"
-        TranslationMemory(self.spark, target).write_batch(
-            one_per_key(self.read(backend)).repartition(files, "segment"), backend, batch_id
-        )
-        return target
-
-
-def one_per_key(memory: DataFrame) -> DataFrame:
+    def fence(self, query: str) -> int:
+        """A new epoch for a query; batches of its earlier epochs are refused from now on."""
+        def later(content: dict) -> None:
+            content["epochs"][query] = content["epochs"].get(query, 0) + 1
+
+        return self.manifest.change(later)["epochs"][query]
+
+    def write_batch(self, results: DataFrame, backend: str, batch_id: str,
+                    epoch: tuple[str, int] | None = None) -> None:
+        """Add a batch, in place of an earlier one of its id; ``epoch`` is what ``fence`` gave a query."""
+        own = results.select(
+            "segment", "translation", "status", "attempts", "error", *PAIR,
+            F.lit(backend).alias("backend"), F.lit(batch_id).alias("batch_id"))
+        entry = self._write(own, backend, batch_id)
+
+        def publish(content: dict) -> None:
+            if epoch is not None and content["epochs"].get(epoch[0]) != epoch[1]:
+                raise Fenced(f"{epoch[0]}: epoch {epoch[1]} is over")
+            content["entries"] = [
+                e for e in content["entries"] if (e["backend"], e["batch"]) != (backend, batch_id)] + [entry]
+
+        self.manifest.change(publish)
+
+    def _write(self, rows: DataFrame, backend: str, batch_id: str) -> dict:
+        """Rows and their filters in folders of their own, not yet named by the manifest."""
+        name = f"entry={run_id()}"
+        rows.write.partitionBy(*PAIR).parquet(f"{self.path}/data/{name}")
+        written = self.spark.read.schema(MEMORY_SCHEMA).parquet(f"{self.path}/data/{name}")
+        filters_of(written, F.col("status") == OK).write.parquet(f"{self.path}/filters/{name}")
+        made = self.spark.read.schema(FILTERS).parquet(f"{self.path}/filters/{name}")
+        files: dict[str, list] = {}
+        # A row or a few for each file that this job has just committed.
+        for file, src, tgt, low, high, n in made.select("file", *PAIR, "low", "high", "n").collect():
+            inner = file[file.rindex(f"/{name}/") + 1:]
+            _, _, _, *seen = files.get(inner, (inner, src, tgt, BUCKETS, -1, 0))
+            files[inner] = [inner, src, tgt, min(seen[0], low), max(seen[1], high), seen[2] + n]
+        return {"id": name, "backend": backend, "batch": batch_id, "files": list(files.values())}
+
+    def split_known(self, texts: DataFrame, backend: str, *, before_batch: str | None = None,
+                    pairs: list[tuple[str, str]] | None = None, between: tuple[int, int] = EVERYWHERE,
+                    texts_are_small: bool = False) -> tuple[DataFrame, list[int] | None]:
+        """The texts without a translation, and the buckets in which others may have one (None: any).
+
+        Filters tell most new texts; rows are read only of buckets where a text
+        may be known. Files of few rows in all are read without asking filters.
+        ``between``: the buckets that the texts are in.
+        """
+        low, high = between
+        entries = [e for e in self.entries(backend) if e["batch"] != before_batch]
+        held = sum(f[5] for e in entries for f in e["files"] if f[3] <= high and f[4] >= low)
+        if not held:
+            return texts, []
+        if held <= FEW_ROWS:
+            known = self.read(backend, before_batch, pairs, list(range(low, high + 1)) if between != EVERYWHERE else None)
+            return new_segments(texts, known, segments_are_small=texts_are_small).select(*texts.columns), None
+        filters = self.spark.read.schema(FILTERS).parquet(*(f"{self.path}/filters/{e['id']}" for e in entries))
+        filters = filters.where((F.col("low") <= high) & (F.col("high") >= low) & (F.col("known") > 0))
+        if pairs:
+            filters = filters.where(reduce(or_, [(F.col("src_lang") == s) & (F.col("tgt_lang") == t) for s, t in pairs]))
+        tasks = min(max(-(-held * BITS_PER_TEXT // (8 * FILTER_BYTES)), self.spark.sparkContext.defaultParallelism), BUCKETS)
+        path, seen = new_work_dir(self.spark, "probed"), Observation(f"probed-{run_id()}")
+        tested = probe(texts, filters, tasks)
+        tested.observe(seen, F.collect_set(F.when(F.col("maybe"), bucket())).alias("buckets")).write.parquet(path)
+        tested = self.spark.read.schema(tested.schema).parquet(path)
+        maybe, new = tested.where("maybe").drop("maybe"), tested.where("not maybe").drop("maybe")
+        touched = sorted(seen.get["buckets"])
+        if not touched:
+            return new, []
+        known = self.read(backend, before_batch, pairs, touched)
+        missed = new_segments(maybe, known, segments_are_small=texts_are_small)
+        return new.union(missed.select(*new.columns)), touched
+
+    def compact(self, backend: str, batch_id: str, files: int | None = None) -> str:
+        """Merge all batches of a backend into one, in place: a text has one row, the earliest batch's."""
+        return self._merge(self.entries(backend), backend, batch_id, files)
+
+    def merge_small(self, backend: str) -> None:
+        """Merge the batches of one size as soon as there are many of them."""
+        by_size: dict[int, list[dict]] = {}
+        for entry in self.entries(backend):
+            rows = sum(f[5] for f in entry["files"])
+            by_size.setdefault(int(math.log(max(rows, 1), MERGED_AT)), []).append(entry)
+        for entries in by_size.values():
+            if len(entries) >= MERGED_AT:
+                self._merge(entries, backend, f"merged-{run_id()}")
+
+    def _merge(self, entries: list[dict], backend: str, batch_id: str, files: int | None = None) -> str:
+        rows = self._rows(self.files(entries=entries))
+        good = one_per_key(rows.where(F.col("status") == OK), "batch_id").withColumn("backend", F.lit(backend))
+        names = [f.split()[0] for f in MEMORY_SCHEMA.split(", ")]
+        all_rows = good.select(*names).union(rows.where(F.col("status") != OK).select(*names))
+        n = sum(f[5] for e in entries for f in e["files"])
+        entry = self._write(in_ranges(all_rows, files or -(-n // TEXTS_PER_FILE)), backend, batch_id)
+        old = {e["id"] for e in entries}
+
+        def swap(content: dict) -> None:
+            there = [e for e in content["entries"] if e["id"] in old]
+            if len(there) == len(old):  # else another writer has replaced one of them; both stay as they are
+                content["entries"] = [e for e in content["entries"] if e["id"] not in old] + [entry]
+
+        self.manifest.change(swap)
+        return self.path
+
+
+def in_ranges(texts: DataFrame, tasks: int) -> DataFrame:
+    """Rows dealt to ``tasks`` equal ranges of the hash of their text."""
+    tasks = max(1, min(tasks, BUCKETS))
+    return texts.repartitionById(tasks, share(tasks))
+
+
+def one_per_key(memory: DataFrame, *more: str) -> DataFrame:
     """The earliest batch wins where two runs translated the same text at once."""
-    first = F.min_by(F.struct("translation", "status", "attempts", "error"), F.col("batch_id"))
+    first = F.min_by(F.struct("translation", "status", "attempts", "error", *more), F.col("batch_id"))
     return memory.groupBy(*SEGMENT_KEY).agg(first.alias("row")).select(*SEGMENT_KEY, "row.*")
 
 
@@ -192,6 +321,7 @@ def lookup_of(
     slices: int = 1,
     batch_id: str | None = None,
     pairs: list[tuple[str, str]] | None = None,
+    epoch: tuple[str, int] | None = None,
 ) -> Lookup:
     """Translate ``(src_lang, tgt_lang, segment, uses)`` and return the run's lookup.
 
@@ -199,7 +329,10 @@ def lookup_of(
     backend would call it again for every action and every lost executor. With a
     memory, only new texts are sent; ``slices`` > 1 sends them in that many
     separately committed batches, so a lost run resumes after its last batch.
-    ``pairs`` names the directions, where known, so that no others are read.
+    ``pairs`` names the directions, where known, so that no others are read. A
+    slice is a range of the hash of its texts: it reads the filters of that range,
+    and rows only of buckets where one of its texts may be known. ``epoch`` is for
+    queries that may be started twice (``TranslationMemory.fence``).
     """
     spark = segments.sparkSession
     work = new_work_dir(spark, "translate")
@@ -212,7 +345,6 @@ def lookup_of(
         return Lookup(df, calls=seen["rows"], **seen)
 
     # Cut the lineage here: the slices and the lookup all start from this table.
-    slice_no = F.pmod(segment_hash("segment"), F.lit(slices)).cast("int")
     sized = Observation(f"segments-{run_id()}")
     (
         segments.observe(
@@ -220,39 +352,50 @@ def lookup_of(
             F.count(F.lit(1)).alias("rows"),
             F.coalesce(F.sum(F.octet_length("segment")), F.lit(0)).alias("bytes"),
         )
-        .withColumn("slice", slice_no)
+        .withColumn("slice", share(slices))
         .write.partitionBy("slice").parquet(f"{work}/segments")
     )
-    small = sized.get["bytes"] <= BROADCAST_BYTES
+    rows, small = sized.get["rows"], sized.get["bytes"] <= BROADCAST_BYTES
     written = spark.read.schema(with_int(segments.schema, "slice")).parquet(f"{work}/segments")
     batch_id = batch_id or f"run-{run_id()}"
     fresh = not memory.exists()
-    calls = 0
-    for number in range(slices if sized.get["rows"] else 0):
+    in_jvm = backend.as_column(F.col("segment"), F.col("src_lang"), F.col("tgt_lang")) is not None
+    # As many files as their texts need, and enough tasks to make them.
+    per_slice, cores = -(-rows // slices), spark.sparkContext.defaultParallelism
+    files = max(-(-per_slice // TEXTS_PER_FILE), min(cores, per_slice // TEXTS_PER_TASK))
+    calls, batches, hits, anywhere = 0, [], set(), False
+    for number in range(slices if rows else 0):
         batch = f"{batch_id}-{number:05d}"
+        batches.append(batch)
         todo = written.where(F.col("slice") == number).drop("slice")
         if not fresh:
-            todo = new_segments(
-                todo, memory.read(backend.name, batch, pairs), segments_are_small=small
-            )
+            todo, touched = memory.split_known(
+                todo, backend.name, before_batch=batch, pairs=pairs,
+                between=buckets_of_share(number, slices), texts_are_small=small)
+            hits.update(touched or ())
+            anywhere = anywhere or touched is None
+        if in_jvm:  # other backends have their texts dealt to ranges of the hash
+            todo = in_ranges(todo, files)
         made = Observation(f"calls-{run_id()}")
         memory.write_batch(
             run_backend(todo, backend, parallel_calls).observe(made, F.count(F.lit(1)).alias("n")),
-            backend.name, batch,
+            backend.name, batch, epoch,
         )
         calls += made.get["n"]
 
     texts = written.drop("slice")
-    known = memory.read(backend.name, pairs=pairs)
-    if small and not fresh:
-        known = known.join(F.broadcast(texts.select(*SEGMENT_KEY)), SEGMENT_KEY, "left_semi")
+    if hits or anywhere:  # the batches of this run among them
+        known = memory.read(backend.name, pairs=pairs, buckets=None if anywhere else sorted(hits))
+        if small:
+            known = known.join(F.broadcast(texts.select(*SEGMENT_KEY)), SEGMENT_KEY, "left_semi")
+    if not anywhere:
+        made = memory.read(backend.name, pairs=pairs, batches=batches)
+        known = known.unionByName(made) if hits else made
     result = texts.join(one_per_key(known), SEGMENT_KEY, "left")
     df, seen = write_measured(result, f"{work}/lookup")
     lookup = Lookup(df, calls=calls, **seen)
     if lookup.failed:
-        mine = [f"{batch_id}-{number:05d}" for number in range(slices)]
-        reasons = memory.failures().where(
-            (F.col("backend") == backend.name) & F.col("batch_id").isin(mine))
+        reasons = memory._rows(memory.files(backend.name, batches=batches, pairs=pairs)).where(F.col("status") != OK)
         failed = lookup.df.select(*SEGMENT_KEY, "uses", "translation").join(
             reasons.select(*SEGMENT_KEY, "status", "attempts", "error"), SEGMENT_KEY, "left"
         )
@@ -260,6 +403,7 @@ def lookup_of(
             failed.withColumn("status", F.coalesce("status", F.lit(OK))), lookup.rows, lookup.uses,
             lookup.bytes, lookup.failed, calls,
         )
+    memory.merge_small(backend.name)
     return lookup
 
 

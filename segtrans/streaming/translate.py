@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.langs import check_pair
 from ..operators.backends import Backend, make_backend
+from ..operators.manifest import Files
 from ..operators.memory import TranslationMemory, apply_lookup_columns
 from ..plans.tables import as_text, refuse_names, table_lookup, text_columns
 
@@ -25,7 +28,7 @@ def stream_translate(
     columns=None,
     backend: str | Backend = "mock",
     on_error: str = "source",
-    name: str = "stream",
+    name: str | None = None,
     trigger: dict | None = None,
     **run,
 ) -> StreamingQuery:
@@ -34,18 +37,29 @@ def stream_translate(
     Every micro-batch writes its own partition of the memory and of the output,
     both by overwrite. A batch that is run again after a failure sees the memory
     as it was before it, and leaves memory and output as if it had run once.
+    Batches carry the id that the checkpoint gives the query, so any number of
+    streams can share a memory, named or not. A query started anew fences its
+    earlier run: that one's batches are refused should it still be alive.
     There is no event time here and so no watermark, and no state but the memory.
     """
     check_pair(src, tgt)
     refuse_names(stream, BATCH)
     backend = make_backend(backend)
     columns = text_columns(stream, columns)
+    run_of: dict[str, int] = {}  # the query and its epoch, from the first batch on
+
+    def epoch() -> tuple[str, int]:
+        if not run_of:
+            query = json.loads(Files(stream.sparkSession, checkpoint).read("metadata"))["id"]
+            run_of[query] = memory.fence(query)
+        return next(iter(run_of.items()))
 
     def translate_batch(batch: DataFrame, number: int) -> None:
         rows = as_text(batch, columns)
+        query, number_of_run = epoch()
         lookup = table_lookup(
             rows, src, tgt, columns, backend, memory=memory, on_error=on_error,
-            batch_id=f"{name}-{number:010d}", **run,
+            batch_id=f"{name or 'stream'}-{query}-{number:010d}", epoch=(query, number_of_run), **run,
         )
         done = apply_lookup_columns(rows, columns, lookup)
         (
@@ -54,10 +68,7 @@ def stream_translate(
             .partitionBy(BATCH).parquet(out_path)
         )
 
-    return (
-        stream.writeStream.foreachBatch(translate_batch)
-        .option("checkpointLocation", checkpoint)
-        .queryName(name)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    writer = stream.writeStream.foreachBatch(translate_batch).option("checkpointLocation", checkpoint)
+    if name:
+        writer = writer.queryName(name)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

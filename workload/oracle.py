@@ -207,6 +207,10 @@ def sql() -> dict[str, str]:
             "SELECT", f"WITH {LINES} SELECT", 1),
         "memory_build": f"""WITH {LINES} SELECT segment, '[MOCK:ne] ' || segment AS translation
             FROM ({line_memory})""",
+        "memory_resume": f"""WITH {LINES}, {CONV}, texts AS (
+              SELECT line AS segment, count(*) AS uses FROM lines WHERE {strip('line')} <> '' GROUP BY 1),
+            new AS (SELECT segment FROM texts EXCEPT (SELECT line FROM conv UNION SELECT text FROM benchmark))
+            SELECT segment, uses, '[MOCK:ne] ' || segment AS translation, (SELECT count(*) FROM new) AS calls FROM texts""",
         "new_segments": f"""WITH {LINES}, {CONV} SELECT segment FROM ({line_memory})
             EXCEPT (SELECT line FROM conv UNION SELECT text FROM benchmark)""",
         "apply_memory": f"""WITH {LINES} SELECT doc_id, line_idx, CASE WHEN line IN

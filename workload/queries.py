@@ -129,6 +129,15 @@ def memory_build(spark, sf):
     return memory.read("mock").select("segment", "translation")
 
 
+def memory_resume(spark, sf):
+    """Lines translated in slices with a memory that knows those of other tables; ``calls`` are for new ones only."""
+    memory = mem.TranslationMemory(spark, new_work_dir(spark, "memory"))
+    known = d.conversation_lines(spark, sf).select("line").union(d.table(spark, sf, "benchmark").select("text"))
+    mem.translate_segments(seg.with_pair(seg.distinct_segments(known, ["line"]), "en", "ne"), MOCK, memory)
+    lookup = mem.translate_segments(_line_segments(spark, sf), MOCK, memory, slices=3)
+    return lookup.df.select("segment", "uses", "translation", F.lit(lookup.calls).cast("long").alias("calls"))
+
+
 def _benchmark_memory(spark, sf):
     texts = d.table(spark, sf, "benchmark").select(F.col("text").alias("segment")).distinct()
     pair = texts.select(F.lit("en").alias("src_lang"), F.lit("ne").alias("tgt_lang"), "segment")
@@ -583,7 +592,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         translate_table_part, translate_table_inline, translate_table_orders,
         translate_table_lineitem, translate_table_events, translate_table_documents,
         translate_cast_all, normalize_missing, is_translatable, distinct_segments, run_metrics,
-        mock_backend, memory_build, new_segments, apply_memory, apply_lookup_shuffled, apply_lookup_columns,
+        mock_backend, memory_build, memory_resume, new_segments, apply_memory, apply_lookup_shuffled, apply_lookup_columns,
         translate_pairs, language_pairs, check_pair, lang_code, retry_outcome,
         fallback_to_source, fail_policy_report, run_report, assemble_paragraphs, first_run, rewrite_runs,
         translate_runs, docx_roundtrip, span_style, horizontal_rules, underlined_spans,
