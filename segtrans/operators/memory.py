@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import time
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -34,7 +36,7 @@ PAIR = ["src_lang", "tgt_lang"]
 # Sixteen batches of about one size are merged into one, so a text is rewritten
 # as often as its memory has grown sixteenfold, and few files hold a bucket.
 MERGED_AT = 16
-FEW_ROWS = 50_000  # of a memory, counted: read rather than asked by filters
+FEW_ROWS = 100_000  # of a batch, counted: no more are read rather than asked by filters
 EVERYWHERE = (0, BUCKETS - 1)
 TEXTS_PER_FILE = 200_000
 TEXTS_PER_TASK = 5_000
@@ -56,7 +58,7 @@ class TranslationMemory:
     manifest names it, in place of an earlier batch of the same id, so running a
     batch again never doubles its rows. The manifest knows of each file its
     direction and run of buckets: reading some buckets opens only files that
-    have them. Beside each batch lie Bloom filters of its files, by which most
+    have them. Beside a large batch lie Bloom filters of its files, by which most
     new texts are told without reading any. Batches are merged as they get many;
     what is no longer named is left to whoever owns the folder. Rows of failed
     calls are kept for the report, but are not translations: ``read`` leaves them
@@ -75,8 +77,8 @@ class TranslationMemory:
 
     def files(self, backend: str | None = None, *, before_batch: str | None = None,
               batches: list[str] | None = None, pairs: list[tuple[str, str]] | None = None,
-              buckets: list[int] | None = None, entries: list[dict] | None = None) -> list[str]:
-        """The files that can have rows of these batches, directions and buckets."""
+              buckets: Sequence[int] | None = None, entries: list[dict] | None = None) -> list[str]:
+        """The files that can have rows of these batches, directions and (sorted) buckets."""
         found = []
         for entry in self.entries(backend) if entries is None else entries:
             if entry["batch"] == before_batch or (batches is not None and entry["batch"] not in batches):
@@ -84,7 +86,7 @@ class TranslationMemory:
             for file, src, tgt, low, high, _ in entry["files"]:
                 if pairs is not None and (src, tgt) not in pairs:
                     continue
-                if buckets is None or any(low <= b <= high for b in buckets):
+                if buckets is None or bisect_left(buckets, low) < bisect_right(buckets, high):
                     found.append(f"{self.path}/data/{file}")
         return found
 
@@ -101,14 +103,15 @@ class TranslationMemory:
 
         Only files of the backend, the directions and the ``buckets`` are opened.
         """
-        rows = self._rows(self.files(
-            backend, before_batch=before_batch, batches=batches, pairs=pairs, buckets=buckets)).where(F.col("status") == OK)
+        files = self.files(backend, before_batch=before_batch, batches=batches, pairs=pairs, buckets=buckets)
+        rows = self._good(files, before_batch, pairs)
+        return rows if buckets is None else rows.where(bucket("segment").isin(buckets))
+
+    def _good(self, files: list[str], before_batch: str | None, pairs: list[tuple[str, str]] | None) -> DataFrame:
+        rows = self._rows(files).where(F.col("status") == OK)
         if before_batch:
             rows = rows.where(F.col("batch_id") != before_batch)
-        if pairs:
-            same = [(F.col("src_lang") == s) & (F.col("tgt_lang") == t) for s, t in pairs]
-            rows = rows.where(reduce(or_, same))
-        return rows if buckets is None else rows.where(bucket("segment").isin(buckets))
+        return rows.where(_of_pairs(pairs)) if pairs else rows
 
     def failures(self, batch_id: str | None = None) -> DataFrame:
         rows = self._rows(self.files()).where(F.col("status") != OK)
@@ -138,53 +141,65 @@ class TranslationMemory:
         self.manifest.change(publish)
 
     def _write(self, rows: DataFrame, backend: str, batch_id: str) -> dict:
-        """Rows and their filters in folders of their own, not yet named by the manifest."""
+        """Rows, and filters if they are many, in folders of their own, not yet named by the manifest."""
         name = f"entry={run_id()}"
         rows.write.partitionBy(*PAIR).parquet(f"{self.path}/data/{name}")
         written = self.spark.read.schema(MEMORY_SCHEMA).parquet(f"{self.path}/data/{name}")
-        filters_of(written, F.col("status") == OK).write.parquet(f"{self.path}/filters/{name}")
-        made = self.spark.read.schema(FILTERS).parquet(f"{self.path}/filters/{name}")
-        files: dict[str, list] = {}
-        # A row or a few for each file that this job has just committed.
-        for file, src, tgt, low, high, n in made.select("file", *PAIR, "low", "high", "n").collect():
-            inner = file[file.rindex(f"/{name}/") + 1:]
-            _, _, _, *seen = files.get(inner, (inner, src, tgt, BUCKETS, -1, 0))
-            files[inner] = [inner, src, tgt, min(seen[0], low), max(seen[1], high), seen[2] + n]
-        return {"id": name, "backend": backend, "batch": batch_id, "files": list(files.values())}
+        in_file = bucket("segment")
+        counted = written.groupBy(F.col("_metadata.file_path").alias("file"), *PAIR).agg(
+            F.min(in_file).alias("low"), F.max(in_file).alias("high"), F.count(F.lit(1)).alias("n"))
+        # A row for each file that this job has just committed.
+        files = [[r.file[r.file.rindex(f"/{name}/") + 1:], *r[1:]] for r in counted.collect()]
+        filtered = sum(f[5] for f in files) > FEW_ROWS
+        if filtered:
+            filters_of(written, F.col("status") == OK).write.parquet(f"{self.path}/filters/{name}")
+        return {"id": name, "backend": backend, "batch": batch_id, "files": files, "filtered": filtered}
 
     def split_known(self, texts: DataFrame, backend: str, *, before_batch: str | None = None,
                     pairs: list[tuple[str, str]] | None = None, between: tuple[int, int] = EVERYWHERE,
-                    texts_are_small: bool = False) -> tuple[DataFrame, list[int] | None]:
-        """The texts without a translation, and the buckets in which others may have one (None: any).
+                    texts_are_small: bool = False) -> tuple[DataFrame, list[int]]:
+        """The texts without a translation, and the buckets in which large batches may have others.
 
-        Filters tell most new texts; rows are read only of buckets where a text
-        may be known. Files of few rows in all are read without asking filters.
-        ``between``: the buckets that the texts are in.
+        Filters of the large batches tell most texts that are new to them, and
+        their rows are read only of buckets where a text may be known. Small
+        batches, of which merging leaves few, are read. ``between``: the buckets
+        that the texts are in.
         """
         low, high = between
         entries = [e for e in self.entries(backend) if e["batch"] != before_batch]
-        held = sum(f[5] for e in entries for f in e["files"] if f[3] <= high and f[4] >= low)
-        if not held:
-            return texts, []
-        if held <= FEW_ROWS:
-            known = self.read(backend, before_batch, pairs, list(range(low, high + 1)) if between != EVERYWHERE else None)
-            return new_segments(texts, known, segments_are_small=texts_are_small).select(*texts.columns), None
-        filters = self.spark.read.schema(FILTERS).parquet(*(f"{self.path}/filters/{e['id']}" for e in entries))
-        filters = filters.where((F.col("low") <= high) & (F.col("high") >= low) & (F.col("known") > 0))
-        if pairs:
-            filters = filters.where(reduce(or_, [(F.col("src_lang") == s) & (F.col("tgt_lang") == t) for s, t in pairs]))
-        tasks = min(max(-(-held * BITS_PER_TEXT // (8 * FILTER_BYTES)), self.spark.sparkContext.defaultParallelism), BUCKETS)
-        path, seen = new_work_dir(self.spark, "probed"), Observation(f"probed-{run_id()}")
-        tested = probe(texts, filters, tasks)
-        tested.observe(seen, F.collect_set(F.when(F.col("maybe"), bucket())).alias("buckets")).write.parquet(path)
-        tested = self.spark.read.schema(tested.schema).parquet(path)
-        maybe, new = tested.where("maybe").drop("maybe"), tested.where("not maybe").drop("maybe")
-        touched = sorted(seen.get["buckets"])
-        if not touched:
-            return new, []
-        known = self.read(backend, before_batch, pairs, touched)
-        missed = new_segments(maybe, known, segments_are_small=texts_are_small)
-        return new.union(missed.select(*new.columns)), touched
+        large = [e for e in entries if e["filtered"]]
+        held = sum(f[5] for e in large for f in e["files"] if f[3] <= high and f[4] >= low)
+        touched: list[int] = []
+        if held:
+            filters = self.spark.read.schema(FILTERS).parquet(*(f"{self.path}/filters/{e['id']}" for e in large))
+            filters = filters.where((F.col("low") <= high) & (F.col("high") >= low) & (F.col("known") > 0))
+            if pairs:
+                filters = filters.where(_of_pairs(pairs))
+            tasks = min(max(-(-held * BITS_PER_TEXT // (8 * FILTER_BYTES)), self.spark.sparkContext.defaultParallelism), BUCKETS)
+            path, seen = new_work_dir(self.spark, "probed"), Observation(f"probed-{run_id()}")
+            tested = probe(texts, filters, tasks)
+            tested.observe(seen, F.collect_set(F.when(F.col("maybe"), bucket())).alias("buckets")).write.parquet(path)
+            tested = self.spark.read.schema(tested.schema).parquet(path)
+            touched, columns = sorted(seen.get["buckets"]), texts.columns
+            texts = tested.where("not maybe").select(*columns)
+            if touched:
+                known = self._good(self.files(entries=large, pairs=pairs, buckets=touched), before_batch, pairs)
+                maybe = tested.where("maybe").select(*columns)
+                missed = new_segments(maybe, known, segments_are_small=texts_are_small)
+                texts = texts.union(missed.select(*columns))
+        small = self.files(entries=[e for e in entries if not e["filtered"]], pairs=pairs, buckets=range(low, high + 1))
+        if small:
+            known = self._good(small, before_batch, pairs)
+            texts = new_segments(texts, known, segments_are_small=texts_are_small).select(*texts.columns)
+        return texts, touched
+
+    def known(self, backend: str, pairs: list[tuple[str, str]] | None, touched: list[int]) -> DataFrame:
+        """Translations of the texts that ``split_known`` has found, and others beside them."""
+        entries = self.entries(backend)
+        files = self.files(entries=[e for e in entries if not e["filtered"]], pairs=pairs)
+        if touched:
+            files += self.files(entries=[e for e in entries if e["filtered"]], pairs=pairs, buckets=touched)
+        return self._good(files, None, pairs)
 
     def compact(self, backend: str, batch_id: str, files: int | None = None) -> str:
         """Merge all batches of a backend into one, in place: a text has one row, the earliest batch's."""
@@ -218,6 +233,10 @@ class TranslationMemory:
         return self.path
 
 
+def _of_pairs(pairs: list[tuple[str, str]]) -> Column:
+    return reduce(or_, [(F.col("src_lang") == s) & (F.col("tgt_lang") == t) for s, t in pairs])
+
+
 def in_ranges(texts: DataFrame, tasks: int) -> DataFrame:
     """Rows dealt to ``tasks`` equal ranges of the hash of their text."""
     tasks = max(1, min(tasks, BUCKETS))
@@ -363,7 +382,7 @@ def lookup_of(
     # As many files as their texts need, and enough tasks to make them.
     per_slice, cores = -(-rows // slices), spark.sparkContext.defaultParallelism
     files = max(-(-per_slice // TEXTS_PER_FILE), min(cores, per_slice // TEXTS_PER_TASK))
-    calls, batches, hits, anywhere = 0, [], set(), False
+    calls, batches, hits = 0, [], set()
     for number in range(slices if rows else 0):
         batch = f"{batch_id}-{number:05d}"
         batches.append(batch)
@@ -372,8 +391,7 @@ def lookup_of(
             todo, touched = memory.split_known(
                 todo, backend.name, before_batch=batch, pairs=pairs,
                 between=buckets_of_share(number, slices), texts_are_small=small)
-            hits.update(touched or ())
-            anywhere = anywhere or touched is None
+            hits.update(touched)
         if in_jvm:  # other backends have their texts dealt to ranges of the hash
             todo = in_ranges(todo, files)
         made = Observation(f"calls-{run_id()}")
@@ -384,13 +402,12 @@ def lookup_of(
         calls += made.get["n"]
 
     texts = written.drop("slice")
-    if hits or anywhere:  # the batches of this run among them
-        known = memory.read(backend.name, pairs=pairs, buckets=None if anywhere else sorted(hits))
+    known = memory.read(backend.name, pairs=pairs, batches=batches)
+    if not fresh:
+        earlier = memory.known(backend.name, pairs, sorted(hits))  # small batches of this run among them
         if small:
-            known = known.join(F.broadcast(texts.select(*SEGMENT_KEY)), SEGMENT_KEY, "left_semi")
-    if not anywhere:
-        made = memory.read(backend.name, pairs=pairs, batches=batches)
-        known = known.unionByName(made) if hits else made
+            earlier = earlier.join(F.broadcast(texts.select(*SEGMENT_KEY)), SEGMENT_KEY, "left_semi")
+        known = known.unionByName(earlier)
     result = texts.join(one_per_key(known), SEGMENT_KEY, "left")
     df, seen = write_measured(result, f"{work}/lookup")
     lookup = Lookup(df, calls=calls, **seen)

@@ -72,11 +72,16 @@ def test_known_and_new_are_told_exactly(memory):
     assert new.count() == len(got) and 0 < len(touched) <= filters.BUCKETS
 
 
-def test_few_rows_are_read_without_filters(memory, monkeypatch):
-    add(memory, "one", 0, 300, files=2)
+def test_small_batches_are_read_without_filters(memory, monkeypatch):
+    add(memory, "large", 0, 300, files=4)
     monkeypatch.setattr(mem, "FEW_ROWS", 1000)
-    new, touched = memory.split_known(texts(memory.spark, 200, 400), "mock")
-    assert segments(new) == {f"text {i}" for i in range(300, 400)} and touched is None
+    add(memory, "small", 200, 400, files=2)
+    assert [e["filtered"] for e in memory.entries("mock")] == [True, False]
+    new, _ = memory.split_known(texts(memory.spark, 100, 600), "mock")
+    assert segments(new) == {f"text {i}" for i in range(400, 600)} and new.count() == 200
+    lookup = mem.translate_segments(texts(memory.spark, 0, 500), MockBackend(), memory, slices=3)
+    assert lookup.calls == 100 and lookup.rows == 500 and lookup.failed == 0
+    assert lookup.df.where("translation = concat('[MOCK:ne] ', segment)").count() == 500
 
 
 def test_new_texts_open_no_file(memory):
