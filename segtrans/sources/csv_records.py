@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ PLAIN = re.compile(r"[^,\r\n]*+")
 
 # A record, or a piece of one: OPENS goes on in the next split, GOES_ON began in an earlier one.
 WHOLE, OPENS, GOES_ON, CLOSES = 0, 1, 2, 3
+COLUMNS = ["_doc", "_pos", "part", "problem", "cells", "piece"]
+PLAIN_RUN = 8  # lines without quotes in a row that are split together
 PARSED = "_doc string, _pos long, part int, problem int, cells array<string>, piece binary"
 
 
@@ -121,6 +124,32 @@ class Split:
         if not self.inside:
             yield from self._close()
 
+    def add_all(self, lines: pa.Array, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Lines to ``rows``; runs of plain ones go as batches, which leave the rows before them first."""
+        marked = np.flatnonzero(pc.match_substring_regex(lines, b'["\r]').to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(lines):
+            plain_to = len(lines) if (i := np.searchsorted(marked, at)) == len(marked) else int(marked[i])
+            closed = not self.lines and not self.goes_on and (self.start or self.n)
+            if closed and plain_to - at >= PLAIN_RUN and (texts := _as_text(lines.slice(at, plain_to - at))) is not None:
+                yield _batch(rows)
+                rows.clear()
+                yield self._plain(texts)
+                at = plain_to
+            else:
+                rows += self.add(lines[at].as_py())
+                at += 1
+
+    def _plain(self, texts: pa.Array) -> pa.RecordBatch:
+        """Records of lines without quotes: split at once, without a look at each."""
+        texts = texts.filter(pc.greater(pc.binary_length(texts), 0))
+        n = len(texts)
+        pos = np.arange(self.start + self.n, self.start + self.n + n)
+        self.n += n
+        return pa.RecordBatch.from_arrays(
+            [pa.repeat(self.doc, n), pa.array(pos), pa.repeat(pa.scalar(WHOLE, pa.int32()), n),
+             pa.repeat(pa.scalar(GOOD, pa.int32()), n), pc.split_pattern(texts, ","), pa.nulls(n, pa.binary())], COLUMNS)
+
     def _close(self) -> Iterator[tuple]:
         raw, self.lines = b"\n".join(self.lines), []
         if self.goes_on:
@@ -143,11 +172,18 @@ class Split:
             yield self._row(GOES_ON if self.goes_on else OPENS, GOOD, None, b"\n".join(self.lines))
 
 
+def _as_text(lines: pa.Array) -> pa.Array | None:
+    try:
+        return lines.cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8
+        return None
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * 6
     types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, types)], ["_doc", "_pos", "part", "problem", "cells", "piece"])
+        [pa.array(c, t) for c, t in zip(columns, types)], COLUMNS)
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array]]:
@@ -173,8 +209,7 @@ def _parser(begin_inside: frozenset[int], multi_line: bool) -> Callable:
                     doc, start, length, size = (batch.column(c)[at].as_py() for c in ("doc", "start", "length", "size"))
                     split = Split(doc, start, start + length >= size, number in begin_inside, multi_line)
                     now = number
-                for line in lines.to_pylist():
-                    rows += split.add(line)
+                yield from split.add_all(lines, rows)
             yield _batch(rows)
         if split is not None:
             yield _batch(list(split.end()))
