@@ -9,13 +9,17 @@ from __future__ import annotations
 import http.client
 import json
 import os
+import threading
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
+from typing import Any
+from urllib.parse import urlsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ FAILED = "failed"
 API_ERROR = "api_error"
 
 TASKS_PER_CORE = 4  # where calls run in threads
+CALLS_PER_TASK = 10_000  # there, so many are repeated if a task is lost
+OUTCOMES = 64  # calls whose results leave a task together
 RESULT_SCHEMA = "translation string, status string, attempts int, error string"
 
 
@@ -42,6 +48,7 @@ class Backend:
     """Extension point; ``name`` is part of the memory key."""
 
     name = "backend"
+    texts_per_call = 1  # where calls run in threads or at a rate
 
     def translate_batch(self, texts: list[str], src: str, tgt: str) -> list[Result]:
         raise NotImplementedError
@@ -135,6 +142,46 @@ def urllib_transport(url: str, payload: dict, headers: dict, timeout: float) ->
         raise TransportError(str(exc)) from exc
 
 
+class KeptConnections:
+    """A transport that keeps one connection per thread and address, and opens another when it breaks.
+
+    A request that finds its kept connection closed is sent once more on a new one.
+    """
+
+    def __init__(self):
+        self._own: threading.local | None = None
+
+    def __getstate__(self) -> dict:
+        return {"_own": None}  # connections do not travel
+
+    def _connections(self) -> dict:
+        if self._own is None:
+            self._own = threading.local()
+        return self._own.__dict__
+
+    def __call__(self, url: str, payload: dict, headers: dict, timeout: float) -> HttpReply:
+        parts = urlsplit(url)
+        kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+        path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+        kept, key = self._connections(), f"{parts.scheme}://{parts.netloc}"
+        for again in (key in kept, False):
+            connection = kept.setdefault(key, None) or kind(parts.netloc, timeout=timeout)
+            kept[key] = connection
+            try:
+                connection.request("POST", path, json.dumps(payload).encode(), headers)
+                reply = connection.getresponse()
+                return HttpReply(reply.status, reply.read().decode(errors="strict" if reply.status < 400 else "replace"))
+            except (OSError, http.client.HTTPException, UnicodeDecodeError) as exc:
+                connection.close()
+                del kept[key]
+                if again and isinstance(exc, (http.client.RemoteDisconnected, BrokenPipeError, ConnectionResetError)):
+                    continue
+                if isinstance(exc, TimeoutError):
+                    raise TransportTimeout(str(exc)) from exc
+                raise TransportError(f"broken reply: {exc!r}") from exc
+        raise AssertionError("not reached")
+
+
 # Statuses always worth another attempt, marker of a good reply.
 RETRY_STATUSES = (429, 503)
 SUCCESS = "SUCCESS"
@@ -234,15 +281,19 @@ def make_backend(backend: str | Backend = "mock") -> Backend:
 
 
 def run_backend(segments: DataFrame, backend: Backend, parallel_calls: int | None = None,
-                batch_size: int = 256) -> DataFrame:
+                batch_size: int = 256, *, texts: int | None = None,
+                calls_per_second: float | None = None) -> DataFrame:
     """Translate each row of ``(src_lang, tgt_lang, segment, ...)`` once.
 
     A column backend stays in the JVM. For any other, ``parallel_calls`` is the
     ceiling on concurrent calls (by default the cores of the cluster). Beyond the
-    cores each task keeps several calls going in threads; partitions are then
-    several to a core, so a lost task repeats a small part of the calls. Below,
-    the number of partitions is the ceiling. A partition is a range of the hash of
-    its texts, hence the same after a retry, and even because texts are distinct.
+    cores each task keeps a window of calls going in threads: as one ends the next
+    begins, so a slow text holds up no other. ``texts``, where known, sets the
+    number of tasks, so that a lost task repeats ``CALLS_PER_TASK`` calls at most.
+    Up to the cores, the number of partitions is the ceiling. A partition is a
+    range of the hash of its texts, hence the same after a retry, and even because
+    texts are distinct. ``calls_per_second`` is shared out among the tasks that
+    can run at once.
     """
     text, src, tgt = F.col("segment"), F.col("src_lang"), F.col("tgt_lang")
     expr = backend.as_column(text, src, tgt)
@@ -256,37 +307,56 @@ def run_backend(segments: DataFrame, backend: Backend, parallel_calls: int | Non
     cores = segments.sparkSession.sparkContext.defaultParallelism
     ceiling = parallel_calls or cores
     threads = max(1, ceiling // cores)
-    tasks = ceiling if ceiling <= cores else cores * TASKS_PER_CORE
+    tasks = ceiling if ceiling <= cores else max(cores * TASKS_PER_CORE, -(-(texts or 0) // CALLS_PER_TASK))
     segments = segments.repartitionById(tasks, share(tasks))
+    pause = min(tasks, cores) / calls_per_second if calls_per_second else 0.0
+    size = batch_size if threads == 1 and not pause else backend.texts_per_call
 
-    def in_threads(pool: ThreadPoolExecutor, texts: list[str], src: str, tgt: str) -> list[Result]:
-        share = -(-len(texts) // threads)
-        parts = [texts[at:at + share] for at in range(0, len(texts), share)]
-        done = list(pool.map(lambda part: backend.translate_batch(part, src, tgt), parts))
-        if any(len(d) != len(p) for d, p in zip(done, parts, strict=True)):
-            raise RuntimeError("backend returned another number of results than texts")
-        return [result for part in done for result in part]
-
-    def translate(batches: Iterator) -> Iterator:
+    def translate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:
-            yield from translate_with(pool, batches)
-
-    def translate_with(pool: ThreadPoolExecutor, batches: Iterator) -> Iterator:
-        for pdf in batches:
-            out: list[Result | None] = [None] * len(pdf)
-            for (s, t), rows in pdf.reset_index(drop=True).groupby(["src_lang", "tgt_lang"]).groups.items():
-                rows = list(rows)
-                for at in range(0, len(rows), batch_size):
-                    part = rows[at:at + batch_size]
-                    texts = pdf["segment"].iloc[part].tolist()
-                    for pos, result in zip(part, in_threads(pool, texts, s, t)):
-                        out[pos] = result
-            yield pdf.assign(
-                translation=[r.translation for r in out],
-                status=[r.status for r in out],
-                attempts=[r.attempts for r in out],
-                error=[r.error for r in out],
-            )
+            def begin(rows: pd.DataFrame) -> Future:
+                src, tgt = rows["src_lang"].iloc[0], rows["tgt_lang"].iloc[0]
+                return pool.submit(backend.translate_batch, rows["segment"].tolist(), src, tgt)
+
+            for done in windowed(calls_of(batches, size), begin, threads, pause):
+                yield pd.concat([_with_results(rows, results) for rows, results in done], ignore_index=True)
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema.fields)
     return segments.mapInPandas(translate, f"{columns}, {RESULT_SCHEMA}")
+
+
+def calls_of(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The rows of one call each: up to ``size``, of one direction."""
+    for batch in batches:
+        for _, rows in batch.groupby(["src_lang", "tgt_lang"], sort=False):
+            for at in range(0, len(rows), size):
+                yield rows.iloc[at:at + size]
+
+
+def windowed(calls: Iterator, begin: Callable[..., Future], most: int, pause: float = 0.0,
+             clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Iterator[list]:
+    """Lists of ``(call, result)`` as they end; never more than ``most`` under way, ``pause`` seconds between two beginnings."""
+    under_way: dict[Future, Any] = {}
+    due, out = clock(), []
+    for call in calls:
+        if pause:
+            sleep(max(0.0, due - clock()))
+            due = max(due, clock()) + pause
+        if len(under_way) >= most:
+            ended, _ = wait(under_way, return_when=FIRST_COMPLETED)
+            out += [(under_way.pop(f), f.result()) for f in ended]
+        under_way[begin(call)] = call
+        if len(out) >= OUTCOMES:
+            yield out
+            out = []
+    out += [(call, f.result()) for f, call in under_way.items()]
+    if out:
+        yield out
+
+
+def _with_results(rows: pd.DataFrame, results: list[Result]) -> pd.DataFrame:
+    if len(results) != len(rows):
+        raise RuntimeError("backend returned another number of results than texts")
+    return rows.assign(
+        translation=[r.translation for r in results], status=[r.status for r in results],
+        attempts=[r.attempts for r in results], error=[r.error for r in results])

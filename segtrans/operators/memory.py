@@ -341,6 +341,7 @@ def lookup_of(
     batch_id: str | None = None,
     pairs: list[tuple[str, str]] | None = None,
     epoch: tuple[str, int] | None = None,
+    calls_per_second: float | None = None,
 ) -> Lookup:
     """Translate ``(src_lang, tgt_lang, segment, uses)`` and return the run's lookup.
 
@@ -359,7 +360,7 @@ def lookup_of(
         memory = TranslationMemory(spark, f"{work}/memory")
 
     if memory is None:
-        results = run_backend(segments, backend, parallel_calls)
+        results = run_backend(segments, backend, parallel_calls, calls_per_second=calls_per_second)
         df, seen = write_measured(results, f"{work}/lookup")
         return Lookup(df, calls=seen["rows"], **seen)
 
@@ -396,7 +397,8 @@ def lookup_of(
             todo = in_ranges(todo, files)
         made = Observation(f"calls-{run_id()}")
         memory.write_batch(
-            run_backend(todo, backend, parallel_calls).observe(made, F.count(F.lit(1)).alias("n")),
+            run_backend(todo, backend, parallel_calls, texts=per_slice, calls_per_second=calls_per_second)
+            .observe(made, F.count(F.lit(1)).alias("n")),
             backend.name, batch, epoch,
         )
         calls += made.get["n"]

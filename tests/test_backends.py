@@ -187,3 +187,101 @@ def test_several_calls_to_a_task_and_never_beyond_the_ceiling(spark, strings):
         assert done.rdd.getNumPartitions() == (cores * b.TASKS_PER_CORE if most > 1 else 2)
         at_once = {int(r.translation) for r in done.collect()}
         assert max(at_once) == most
+
+
+class Uneven(b.Backend):
+    """One text takes long; each tells when it was done."""
+
+    name = "uneven"
+
+    def translate_batch(self, texts, src, tgt):
+        import time
+
+        time.sleep(3 if texts == ["slow"] else 0.02)
+        return [b.Result(str(time.time())) for _ in texts]
+
+
+def test_a_slow_text_delays_no_other(spark, strings):
+    ship_by_value(sys.modules[__name__])
+    cores = spark.sparkContext.defaultParallelism
+    texts = strings(["slow", *(f"text {i}" for i in range(300))], "segment").coalesce(1).selectExpr(
+        "'en' src_lang", "'ne' tgt_lang", "segment", "1L uses")
+    done = {r.segment: float(r.translation) for r in b.run_backend(texts, Uneven(), 2 * cores).collect()}
+    late = done.pop("slow")
+    assert len(done) == 300 and all(t < late - 1 for t in done.values())
+
+
+def test_as_many_tasks_as_texts_need(spark, strings):
+    cores = spark.sparkContext.defaultParallelism
+    texts = strings(["a"], "segment").selectExpr("'en' src_lang", "'ne' tgt_lang", "segment")
+    many = b.run_backend(texts, Uneven(), 2 * cores, texts=10**6)
+    assert many.rdd.getNumPartitions() == 10**6 // b.CALLS_PER_TASK
+
+
+def test_window_and_rate():
+    from concurrent.futures import Future
+
+    under_way, most, began, now = [], [], [], [0.0]
+
+    def begin(call):
+        future = Future()
+        under_way.append(future)
+        most.append(sum(not f.done() for f in under_way))
+        began.append(now[0])
+        if len(under_way) % 3 == 0:  # every third call ends those before it
+            for f in under_way:
+                if not f.done():
+                    f.set_result(call)
+        return future
+
+    got = [c for part in b.windowed(iter(range(9)), begin, 3, 0.5, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s)) for c, _ in part]
+    assert sorted(got) == list(range(9)) and max(most) == 3
+    assert began == [0.5 * i for i in range(9)]
+
+
+def test_connections_are_kept_and_opened_anew(monkeypatch):
+    import pickle
+
+    opened, script = [], []
+
+    class Reply:
+        def __init__(self, status, body):
+            self.status, self.body = status, body
+
+        def read(self):
+            return self.body
+
+    class Connection:
+        def __init__(self, address, timeout):
+            opened.append(address)
+
+        def request(self, method, path, body, headers):
+            assert method == "POST" and path == "/v1?x=1"
+
+        def getresponse(self):
+            step = script.pop(0)
+            if isinstance(step, Exception):
+                raise step
+            return Reply(*step)
+
+        def close(self):
+            pass
+
+    monkeypatch.setattr(b.http.client, "HTTPSConnection", Connection)
+    transport = pickle.loads(pickle.dumps(b.KeptConnections()))
+
+    def send():
+        return transport("https://service.invalid/v1?x=1", {"text": "a"}, {}, 5)
+
+    script[:] = [(200, b"one"), (429, b"\xff"), (200, b"two")]
+    assert [send().body for _ in range(3)] == ["one", "\ufffd", "two"] and len(opened) == 1
+    script[:] = [http.client.RemoteDisconnected("idle"), (200, b"three")]
+    assert send().body == "three" and len(opened) == 2  # a kept connection had been closed
+    for error, kind in ((TimeoutError("t"), b.TransportTimeout), (ConnectionRefusedError(), b.TransportError),
+                        (http.client.BadStatusLine("x"), b.TransportError)):
+        script[:] = [error]
+        with pytest.raises(kind):
+            send()
+    script[:] = [http.client.RemoteDisconnected("new one, too")]
+    with pytest.raises(b.TransportError):
+        send()
