@@ -45,3 +45,21 @@ def test_batches_run_again_change_nothing(spark, tmp_path):
     # A new checkpoint makes the stream start over with the same batch number.
     memory, again = run(spark, tmp_path, backend, "other")
     assert rows == again and memory.read().count() == 2
+
+
+def test_metrics_are_merged_and_replaced(spark, tmp_path):
+    from segtrans.plans.tables import merge_metrics, sketch_metrics, table_metrics
+    from segtrans.streaming.translate import stream_metrics
+
+    write(spark, tmp_path, [(1, "a"), (2, "b"), (3, "a"), (4, " "), (5, None)])
+    write(spark, tmp_path, [(6, "b"), (7, "c")])
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream_translate(stream, "en", "ne", memory=TranslationMemory(spark, f"{tmp_path}/memory"), out_path=f"{tmp_path}/out",
+                     checkpoint=f"{tmp_path}/checkpoint", metrics_path=f"{tmp_path}/metrics").awaitTermination()
+    assert tuple(stream_metrics(spark, f"{tmp_path}/metrics").first()) == (7, 1, 1, 5, 3)
+    many = spark.range(40_000).selectExpr("concat('t', id % 30000) AS v")
+    parts = [sketch_metrics(many.where(f"id % 3 = {i}")) for i in range(3)]
+    merged = merge_metrics(parts[0].union(parts[1]).union(parts[2])).first()
+    exact = table_metrics(many).first()
+    assert merged[:4] == exact[:4] and abs(merged.distinct_texts - exact.distinct_texts) < 0.05 * exact.distinct_texts
+    assert tuple(merge_metrics(parts[0].limit(0)).first()) == (0, 0, 0, 0, 0)

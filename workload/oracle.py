@@ -336,6 +336,19 @@ def sql() -> dict[str, str]:
         "preview_lines": f"""WITH {LINES} SELECT doc_id, line_idx, line, CAST(row_number() OVER (
             PARTITION BY doc_id ORDER BY line_idx) AS INT) AS n_shown FROM lines
             WHERE {strip('line')} <> '' QUALIFY n_shown <= 8""",
+        "preview_rows": """SELECT p_partkey % 50 AS file, p_partkey, p_name, p_type, CAST(row_number() OVER (
+            PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS INT) AS n_shown FROM part QUALIFY n_shown <= 5""",
+        "preview_translated": f"""WITH {LINES}, {CONV} SELECT 'csv' AS kind, p_partkey % 50 AS id, CAST(row_number() OVER (
+              PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS INT) AS n_shown,
+              p_partkey || ' | ' || {mock('p_name')} || ' | ' || {mock('p_type')} AS line FROM part QUALIFY n_shown <= 4
+            UNION ALL SELECT 'docx', conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, line_idx) AS INT)
+              AS n_shown, {mock('line')} FROM conv WHERE {strip('line')} <> '' QUALIFY n_shown <= 6
+            UNION ALL SELECT 'pdf', doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) AS INT) AS n_shown,
+              {mock('line')} FROM lines WHERE {strip('line')} <> '' QUALIFY n_shown <= 6""",
+        "stream_metrics": f"""SELECT 2 * count(*) AS cells, count(*) FILTER (event_type IS NULL) + count(*) FILTER (props IS NULL)
+              AS missing, count(*) FILTER ({strip('event_type')} = '') + count(*) FILTER ({strip('props')} = '') AS blank,
+              count(*) FILTER ({strip('event_type')} <> '') + count(*) FILTER ({strip('props')} <> '') AS texts,
+              TRUE AS distinct_texts_are_near FROM events""",
         "sentence_segments": f"""WITH {SENTENCES} SELECT conv_id, turn, CAST(i AS INT) AS sentence_idx,
             sentence, separator FROM sentences""",
         "sentence_failures": f"""WITH {SENTENCES}, texts AS (SELECT DISTINCT text FROM conversations

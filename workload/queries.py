@@ -25,6 +25,7 @@ from segtrans.sources import csv as csv_src
 from segtrans.sources import csv_records as csv_rec
 from segtrans.sources import docx as docx_src
 from segtrans.sources import files as file_src
+from segtrans.streaming import translate
 from segtrans.streaming.translate import stream_translate
 
 from . import derived as d
@@ -433,6 +434,26 @@ def preview_lines(spark, sf):
         d.document_lines(spark, sf), ["doc_id"], ["line_idx"], pre.PREVIEW_BEFORE["pdf"], "line")
 
 
+def preview_rows(spark, sf):
+    """The first five rows of tables, here one for every 50th part."""
+    parts = _part(spark, sf).select((F.col("p_partkey") % 50).alias("file"), "p_partkey", "p_name", "p_type")
+    return pre.preview(parts, ["file"], ["p_partkey"], pre.PREVIEW_BEFORE["csv"])
+
+
+def preview_translated(spark, sf):
+    """The first rows, paragraphs and lines of what a translation has made, each as one line of text."""
+    parts = tables.translate_table(_part(spark, sf), "en", "ne", columns=["p_name", "p_type"])
+    rows = pre.preview(parts.withColumn("id", F.col("p_partkey") % 50), ["id"], ["p_partkey"], pre.PREVIEW_AFTER["csv"]).select(
+        F.lit("csv").alias("kind"), "id", "n_shown", pre.preview_line(["p_partkey", "p_name", "p_type"]).alias("line"))
+    turns = tables.translate_table(d.conversation_lines(spark, sf), "en", "ne", columns=["line"])
+    paragraphs = pre.preview(turns, ["conv_id"], ["turn", "line_idx"], pre.PREVIEW_AFTER["docx"], "line").select(
+        F.lit("docx"), "conv_id", "n_shown", "line")
+    lines = tables.translate_table(d.document_lines(spark, sf), "en", "ne", columns=["line"])
+    pages = pre.preview(lines, ["doc_id"], ["line_idx"], pre.PREVIEW_AFTER["pdf"], "line").select(
+        F.lit("pdf"), "doc_id", "n_shown", "line")
+    return rows.union(paragraphs).union(pages)
+
+
 def sentence_segments(spark, sf):
     return sentences.sentence_segments(
         d.table(spark, sf, "conversations"), "text", "conv_id", "turn")
@@ -548,16 +569,16 @@ def docx_folder(spark, sf):
 # ----------------------------------------------------------------- streaming
 
 
-def _stream_events(spark, sf):
+def _stream_events(spark, sf, work=None, **options):
     """Events arriving as four files, one to a micro-batch."""
-    work = new_work_dir(spark, "stream")
+    work = work or new_work_dir(spark, "stream")
     events = d.table(spark, sf, "events").select("event_id", "event_type", "props")
     events.repartitionByRange(4, "event_id").write.parquet(f"{work}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
     memory = mem.TranslationMemory(spark, f"{work}/memory")
     stream_translate(
         stream.parquet(f"{work}/in"), "en", "ne", memory=memory, out_path=f"{work}/out",
-        checkpoint=f"{work}/checkpoint", name=work.rsplit("/", 1)[1],
+        checkpoint=f"{work}/checkpoint", name=work.rsplit("/", 1)[1], **options,
     ).awaitTermination()
     return memory, spark.read.parquet(f"{work}/out")
 
@@ -566,6 +587,16 @@ def stream_translated(spark, sf):
     return _stream_events(spark, sf)[1].select("event_id", "event_type", "props")
 
 
+def stream_metrics(spark, sf):
+    """Counts of a stream from the sketches of its batches; distinct texts within three standard errors of the exact."""
+    work = new_work_dir(spark, "stream")
+    _stream_events(spark, sf, work, metrics_path=f"{work}/metrics")
+    exact = tables.table_metrics(d.table(spark, sf, "events").select("event_type", "props")).first().distinct_texts
+    near = F.abs(F.col("distinct_texts") - exact) <= 0.05 * exact
+    return translate.stream_metrics(spark, f"{work}/metrics").select(
+        "cells", "missing", "blank", "texts", near.alias("distinct_texts_are_near"))
+
+
 def stream_csv(spark, sf):
     """Events arriving as CSV files of two headers, translated as they come."""
     work = new_work_dir(spark, "stream-csv")
@@ -600,9 +631,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         table_row_roles, drop_empty_tables, merge_blocks, reading_order, reading_order_split,
         is_heading, paragraph_style, escape_markup, distinct_layout_segments, translate_layout,
         translate_layout_cells, page_breaks, empty_pages, reflow_plan, reflow_cells,
-        reassemble_text, list_files, size_guard, output_name, preview, preview_lines,
+        reassemble_text, list_files, size_guard, output_name, preview, preview_lines, preview_rows, preview_translated,
         sentence_segments, translate_by_sentence, sentence_failures, csv_roundtrip, csv_one_column,
-        csv_folder, csv_order, docx_folder, stream_csv, stream_memory,
+        csv_folder, csv_order, docx_folder, stream_csv, stream_metrics, stream_memory,
     )
 }
 QUERIES["parse_response"] = parse_reply_log
