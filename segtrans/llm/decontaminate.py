@@ -134,8 +134,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, needed: i
     ``first_word, last_word`` (in the document, the latter exclusive), ``changed``
     (some placeholder holds another value) and ``row_hash`` (of id and text). A
     pair is returned if at least ``needed`` windows of the item, or all if it has
-    fewer, are met, as template or as they stand, on alignments with consistent values: a value of the item
-    always stands for one value of the document. Null or empty texts hold
+    fewer, are met, as template or as they stand, on alignments with consistent values (a value of the item always
+    stands for one value of the document); windows without values count on any. Null or empty texts hold
     nothing; a null ``doc_id`` stays null; repeated rows give a pair each; empty
     tables give no rows. Other columns are not read.
     """
@@ -150,15 +150,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, needed: i
     small = items.count() <= SMALL
     met = found.drop("n_words").join(F.broadcast(items) if small else items, "h")
     values = F.arrays_zip(F.col("item_slots").alias("of_item"), F.col("slots").alias("of_doc"))
+    bare = F.col("item_slots").isNotNull() & (F.size("item_slots") == 0)  # of an item with placeholders, but here none
     aligned = (
         met.groupBy("row", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
         .agg(F.first("doc_id").alias("doc_id"), F.first("row_hash").alias("row_hash"),
              F.first("item_words").alias("item_words"), F.first("length").alias("length"),
              F.collect_set("item_at").alias("ats"),  # bounded by the item
+             F.collect_set(F.when(bare, F.col("item_at"))).alias("bare_ats"),
              F.array_distinct(F.flatten(F.collect_set(values))).alias("values"))
     )
     of_item = F.array_distinct(F.transform("values", lambda v: v["of_item"]))
-    consistent = aligned.where(F.size(of_item) == F.size("values"))
+    # Where values conflict, the windows of plain words are a copy all the same.
+    agreeing = F.when(F.size(of_item) == F.size("values"), F.col("ats")).otherwise(F.col("bare_ats"))
+    consistent = aligned.withColumn("ats", agreeing).where(F.size("ats") > 0)
     changed = F.exists("values", lambda v: ~v["of_item"].eqNullSafe(v["of_doc"]))
     pairs = consistent.groupBy("row", "item_id").agg(
         F.first("doc_id").alias("doc_id"), F.first("row_hash").alias("row_hash"),

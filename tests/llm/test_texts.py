@@ -190,3 +190,22 @@ def test_every_verbatim_leak_is_found(spark, sf, docs):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
     assert want and want <= got
     assert not decontaminate.leaks(docs.where("doc_id < 0"), bench).collect()
+
+
+def test_words_as_they_stand_count_where_values_conflict(spark):
+    """One value that does not fit leaves the windows without values, and only those."""
+    from segtrans.llm.decontaminate import leaks, without_leaks
+
+    plain = " ".join(f"w{c}{d}" for c in "abcde" for d in "fghi")
+    item = f"{plain} sold 12 apples and kept 12 pears for all of us at home"
+    benchmark = spark.createDataFrame([(1, item), (2, "sold 12 apples and kept 12 pears, so 12 of them were left, and 12 went away")],
+                                      "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, item.replace("12 apples", "57 apples")), (2, item.replace("12", "57")), (3, item), (4, plain), (5, plain.split(" ", 10)[-1]),
+        (6, "sold 57 apples and kept 12 pears, so 12 of them were left, and 13 went away"),
+    ], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.changed) for r in leaks(docs, benchmark).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+    assert got[2, 1] == (got[3, 1][0], True) and not got[3, 1][1] and not got[4, 1][1]
+    assert got[4, 1][0] == 13 and 13 <= got[1, 1][0] < got[3, 1][0] and got[1, 1][1]
+    assert {r.doc_id for r in without_leaks(docs, benchmark).collect()} == {5, 6}
