@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 NAME_PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
@@ -82,7 +82,8 @@ def _dropped(tag: str, attributes: str, parent: Node) -> tuple[bool, bool]:
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if values.get("role", "").lower() in DROPPED_ROLES or values.get("aria-hidden") == "true":
         return True, False
-    if re.search(r"display\s*:\s*none", values.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
+    bare = ATTRIBUTE.sub(" ", attributes).lower().replace("/", " ").split()  # attributes without a value
+    if re.search(r"display\s*:\s*none", values.get("style", "")) or "hidden" in values or "hidden" in bare:
         return True, False
     parts = {p.lower() for p in NAME_PART.findall(values.get("class", "") + " " + values.get("id", ""))}
     return False, bool(parts & DROPPED_NAMES) or bool(parts & SITE_HEADERS and not _in_article(parent))
@@ -93,14 +94,17 @@ def parse(page: str) -> list[Node]:
     at, root = 0, Node("body", None)
     nodes, here = [root], root
     skipped: list[str] = []  # open elements of a dropped subtree
+    tags_end = page.rfind(">") + 1  # no tag ends behind it, so none is looked for
     while True:
-        tag = TAG.search(page, at)
-        text = page[at:tag.start() if tag else len(page)]
+        tag = TAG.search(page, at, tags_end) if at < tags_end else None
+        text = page[at:tag.start()] if tag else page[at:].split("<!--", 1)[0]
         if text and not skipped:
             here.items.append(html.unescape(text))
         if not tag:
             return nodes
         at = tag.end()
+        if tag[0].startswith("<!--") and not tag[0].endswith("-->"):
+            at = len(page)  # a comment that is never closed
         if not tag[2]:
             continue
         name = tag[2].lower()

@@ -209,3 +209,23 @@ def test_words_as_they_stand_count_where_values_conflict(spark):
     assert got[2, 1] == (got[3, 1][0], True) and not got[3, 1][1] and not got[4, 1][1]
     assert got[4, 1][0] == 13 and 13 <= got[1, 1][0] < got[3, 1][0] and got[1, 1][1]
     assert {r.doc_id for r in without_leaks(docs, benchmark).collect()} == {5, 6}
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    from segtrans.llm.html_text import main_text
+
+    page = ('<article><p title="a hidden gem">kept words here</p><p hidden>no</p><p class="x" hidden="">no</p>'
+            '<p data-note=\'hidden\' >kept, too</p><p Hidden class=y>no</p></article>')
+    assert main_text(page) == "kept words here\n\nkept, too"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!", "<!--", "x<", "</", "<a b='"])
+def test_a_megabyte_of_broken_tags_is_read_at_once(piece):
+    import time
+
+    from segtrans.llm.html_text import main_text
+
+    start = time.monotonic()
+    for page in (piece * (10**6 // len(piece)), piece * (10**6 // len(piece)) + ">"):
+        main_text(page)
+    assert time.monotonic() - start < 20
