@@ -113,9 +113,11 @@ def underlined_spans(spans: DataFrame, rules: DataFrame, large: DataFrame | None
         *PAGE, F.explode(F.sequence(F.col("y") - reach, F.col("y") + reach)).alias("bottom")
     ).distinct()
     covered = repeat_per_salt(covered, large, rows).withColumn("_hit", F.lit(True))
+    # There are as many rules as the pages have, and their size is estimated from the
+    # file, before they are spread: a broadcast of them would outgrow the driver.
     flagged = (
         spans.withColumn("bottom", round_point("y1"))
-        .join(covered, [*page_key(spans), "bottom"], "left")
+        .join(covered.hint("merge"), [*page_key(spans), "bottom"], "left")
         .withColumn("is_underline", F.col("_hit").isNotNull())
     )
     keep = [*spans.columns, "is_underline"]
@@ -226,7 +228,8 @@ def drop_text_in_tables(lines: DataFrame, boxes: DataFrame, large: DataFrame | N
         same_page = same_page & (F.floor(cy / BAND) == F.col("box.band"))
     box, line = box.alias("box"), lines.alias("line")
     inside = cx.between(F.col("bx0"), F.col("bx1")) & cy.between(F.col("by0"), F.col("by1"))
-    left = line.join(box, same_page & inside, "left_anti")
+    # Boxes grow with the pages and compress well, so they are not broadcast by their file's size.
+    left = line.join(box.hint("merge"), same_page & inside, "left_anti")
     return left if own else left.drop("salt")
 
 

@@ -113,3 +113,26 @@ def test_work_folder_needs_to_be_shared(spark):
 
     with pytest.raises(RuntimeError, match="shared"):
         work_root(Cluster())
+
+
+def test_rules_and_boxes_are_not_broadcast_by_the_size_of_their_file(spark, sf, tmp_path):
+    """A rule is eleven rows, and a file of them packs a hundredfold: what is broadcast would grow with the pages."""
+    stored = {}
+    for name, df in vars(derived.layout(spark, sf)).items():
+        df.write.parquet(f"{tmp_path}/{name}")
+        stored[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    layout = lay.Layout(**stored)
+    styled = lay.underlined_spans(lay.span_style(layout.spans), lay.horizontal_rules(layout.drawings))
+    kept = lay.drop_text_in_tables(lay.assemble_lines(styled), layout.table_boxes)
+    for df in (styled, kept, lay.extract_blocks(layout)):
+        assert "Broadcast" not in plan(df)
+
+
+def test_stored_tables_deal_out_texts_not_rows(spark, sf):
+    text = plan(derived.document_lines(spark, sf, dealt=True))
+    assert text.index("Generate") < text.index("Exchange")
+
+
+def test_tables_of_many_files_are_not_dealt_out(spark, sf, tmp_path):
+    derived.table(spark, sf, "documents").select("doc_id").repartition(8).write.parquet(f"{tmp_path}/docs")
+    assert "Exchange" not in plan(derived.spread(spark.read.parquet(f"{tmp_path}/docs"), "doc_id"))
