@@ -171,6 +171,27 @@ def test_a_language_without_trusted_documents_is_not_cut_by_smaller_ones():
     assert cuts == {"a": 0, "b": pytest.approx(-0.89), "c": -math.inf} and others == pytest.approx(-0.89)
 
 
+def test_every_trusted_document_counts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(60)), "en" if i % 200 else "fr") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    counts = [quality.ngram_counts(docs, quality.trusted_ids(labels, n), 50) for n in (0, 10_000)]  # by shuffle, by broadcast
+    assert counts[0] == counts[1] and counts[0][0] == [sum(x) for x in zip(*counts[0][1].values())]
+    fitted = quality.cross_fitted(docs, quality.trusted_ids(labels), *counts[0])
+    passed = {(r.doc.doc_id, r.doc.lang) for r in quality.measured(docs, 50).where("not base_failed").collect()}
+    found = collections.defaultdict(list)
+    for r in fitted.collect():
+        found[r.lang].append((r.near, r.far))
+    assert {k: len(v) for k, v in found.items()} == collections.Counter(lang for _, lang in passed)
+    assert len(found["en"]) > 1000 > quality.ENOUGH > len(found["fr"]) > 0
+    sizes = {"en": 1194, "fr": 6, "de": 3}
+    cuts, others = quality.table_cuts(fitted, sizes)
+    plain, plain_others = quality.language_cuts(found, sizes)
+    assert cuts == pytest.approx(plain) and others == pytest.approx(plain_others)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 5), (1000, 2000), (3000, 1 << 40), (3000, 1 << 63)):
