@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import new_work_dir, with_int
+from ..session import PACKED, new_work_dir, with_int
 
 # A window sorts one group in one task; beyond this many rows the group is split.
 GROUP_ROWS = 2_000_000
@@ -50,7 +50,7 @@ def _split_row_number(df: DataFrame, group: list[str], order: list, out: str) ->
     (
         df.repartitionByRange(*key, *order)
         .withColumn("_stretch", F.spark_partition_id())
-        .write.parquet(path)
+        .write.option("compression", PACKED).parquet(path)
     )
     ranged = spark.read.schema(with_int(df.schema, "_stretch")).parquet(path)
     before = (
@@ -81,6 +81,10 @@ def number_rows(df: DataFrame, group: list[str], order: list, out: str,
     """
     if large is None:
         return _row_number(df, group, order, out)
+    # Written, because both ways read it; what made it would run twice, with all its shuffles.
+    path = new_work_dir(df.sparkSession, "unnumbered")
+    df.write.option("compression", PACKED).parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
     keys = F.broadcast(large.select(*group))
     usual = _row_number(df.join(keys, group, "left_anti"), group, order, out)
     split = _split_row_number(df.join(keys, group, "left_semi"), group, order, out)

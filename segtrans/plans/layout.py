@@ -17,7 +17,7 @@ from ..operators.layout import GROUP_ROWS, PAGE, Layout, clean_table_cells, extr
 from ..operators.memory import TranslationMemory, apply_lookup, translate_segments
 from ..operators.ranking import large_groups, number_rows
 from ..operators.segments import count_segments, with_pair
-from ..session import new_work_dir
+from ..session import PACKED, new_work_dir
 
 LINES_PER_PART = 10_000
 
@@ -67,7 +67,7 @@ def translate_layout(
     # Laid out once, read twice: by the distinct and by the map-back.
     spark = blocks.sparkSession
     path = new_work_dir(spark, "blocks")
-    blocks.write.parquet(path)
+    blocks.write.option("compression", PACKED).parquet(path)
     blocks = spark.read.schema(blocks.schema).parquet(path)
     segments = with_pair(distinct_layout_segments(blocks, cells), src, tgt)
     lookup = translate_segments(segments, backend, memory, on_error, pairs=[(src, tgt)], **run)

@@ -148,3 +148,13 @@ def test_number_rows_split(spark):
     b = number_rows(df, ["g"], [F.col("o"), F.col("id")], "n", large).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(b) == 5000
     assert large_groups(df, ["g"], 3000) is None
+
+
+def test_numbering_runs_its_input_once(spark):
+    """With large groups, what made the rows is behind one table that both ways read."""
+    rows = spark.range(100).select((F.col("id") % 3).alias("g"), "id").repartition(7, "id")
+    large = large_groups(rows, ["g"], 33)
+    numbered = number_rows(rows, ["g"], [F.col("id")], "n", large)
+    text = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in text.replace("RepartitionByRange", "") and large.count() == 1
+    assert {(r.g, r.id, r.n) for r in numbered.collect()} == {(i % 3, i, i // 3) for i in range(100)}
