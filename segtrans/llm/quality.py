@@ -94,8 +94,7 @@ def cross_fitted(docs: DataFrame, ids: DataFrame, raw: list[int], good: dict[str
     mine = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), language(docs).alias("lang"), "text").join(
         ids, F.col("doc_id") == F.col("trusted_id")
     ).select("lang", "text", F.monotonically_increasing_id().alias("row")), "trusted")
-    # Texts are dealt out, so that their n-grams are counted where they are.
-    grams = fenced(measured(mine.repartition("row"), buckets)).where("not base_failed").select(
+    grams = fenced(measured(mine, buckets)).where("not base_failed").select(
         "doc.row", "doc.lang", F.size("grams").alias("size"), F.explode("grams").alias("bucket"))
     own = grams.groupBy("row", "lang", "size", "bucket").agg(F.count(F.lit(1)).alias("own"))
     sizes = {lang: float(sum(g)) for lang, g in good.items()}
@@ -109,8 +108,8 @@ def cross_fitted(docs: DataFrame, ids: DataFrame, raw: list[int], good: dict[str
             (F.col("target") - F.col(less) + PRIOR)
             / (F.col("raw") * (F.lit(total) - F.col(less_size)) / size + PRIOR))) / F.first("size")
 
-    scores = own.join(F.broadcast(table), ["lang", "bucket"]).groupBy("row").agg(
-        F.first("lang").alias("lang"), ratio("own", "size").alias("near"), ratio("of_lang", "lang_size").alias("far"))
+    scores = own.join(F.broadcast(table), ["lang", "bucket"]).groupBy("row", "lang").agg(
+        ratio("own", "size").alias("near"), ratio("of_lang", "lang_size").alias("far"))
     return written(scores.select("lang", "near", "far"), "fitted")
 
 
