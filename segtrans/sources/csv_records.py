@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,7 @@ PLAIN = re.compile(r"[^,\r\n]*+")
 WHOLE, OPENS, GOES_ON, CLOSES = 0, 1, 2, 3
 COLUMNS = ["_doc", "_pos", "part", "problem", "cells", "piece"]
 PLAIN_RUN = 8  # lines without quotes in a row that are split together
+ROWS_PER_BATCH = 5_000
 PARSED = "_doc string, _pos long, part int, problem int, cells array<string>, piece binary"
 
 
@@ -248,9 +250,9 @@ def _begin_inside(lines: DataFrame) -> frozenset[int]:
     """
     splits = lines.where(F.col("length") < F.col("size")).mapInArrow(
         _ends, "doc string, start long, number long, from_out boolean, from_in boolean")
-    chain = F.sort_array(F.collect_list(F.struct("start", "number", "from_out", "from_in")))
+    walk = F.sort_array(F.collect_list(F.struct("start", "number", "from_out", "from_in")))
     state = F.struct(F.lit(False).alias("inside"), F.array().cast("array<bigint>").alias("found"))
-    walked = splits.groupBy("doc").agg(F.aggregate(chain, state, lambda s, x: F.struct(
+    walked = splits.groupBy("doc").agg(F.aggregate(walk, state, lambda s, x: F.struct(
         F.when(s["inside"], x["from_in"]).otherwise(x["from_out"]).alias("inside"),
         F.when(s["inside"], F.array_append(s["found"], x["number"])).otherwise(s["found"]).alias("found"))).alias("end"))
     return frozenset(r[0] for r in walked.select(F.explode("end.found")).collect())
@@ -378,26 +380,39 @@ def stream_csv_cells(spark: SparkSession, folder: str, columns: list[str], *, fi
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, doc in zip(batch.column("content"), batch.column("doc").to_pylist()):
-                yield _file_rows(content.as_py(), doc, columns)
+                yield from _file_rows(content.as_py(), doc, columns)
 
     read = files.mapInArrow(rows, "_doc string, _pos long, cells array<string>, _extra array<string>")
     named = [normalize_missing(F.get("cells", F.lit(i))).alias(c) for i, c in enumerate(columns)]
     return read.select(*named, DOC, POS, EXTRA)
 
 
-def _file_rows(content: bytes, doc: str, columns: list[str]) -> pa.RecordBatch:
+def _lines_of(content: bytes) -> Iterator[bytes]:
+    start = 0
+    while (end := content.find(b"\n", start)) >= 0:
+        yield content[start:end]
+        start = end + 1
+    yield content[start:]
+
+
+def _file_rows(content: bytes, doc: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of a file, a batch at a time: beside its bytes, no more than that is held."""
     split = Split(doc, 0, True, False, True)
-    found = [row for line in content.split(b"\n") for row in split.add(line)] + list(split.end())
-    records = [(pos, problem, cells) for _, pos, _, problem, cells, _ in found]
-    while records and len(records[0][2]) == 1 and not records[0][2][0].strip():
-        records.pop(0)
-    place = {name: i for i, name in enumerate(column_names(records[0][2]))} if records else {}
-    at = [place.get(c, -1) for c in columns]
-    out = []
-    for pos, problem, cells in records[1:]:
-        good = problem == GOOD and records[0][1] == GOOD and not any(cells[len(place):])
+    found = chain((row for line in _lines_of(content) for row in split.add(line)), split.end())
+    texts = pa.list_(pa.string())
+    schema = pa.schema([("_doc", pa.string()), ("_pos", pa.int64()), ("cells", texts), ("_extra", texts)])
+    head, out = None, []
+    for _, pos, _, problem, cells, _ in found:
+        if head is None:
+            if len(cells) > 1 or cells[0].strip():
+                head = problem
+                place = {name: i for i, name in enumerate(column_names(cells))}
+                at = [place.get(c, -1) for c in columns]
+            continue
+        good = problem == GOOD and head == GOOD and not any(cells[len(place):])
         named = [cells[i] if 0 <= i < len(cells) else None for i in at]
         out.append({"_doc": doc, "_pos": pos, "cells": named if good else None, "_extra": None if good else cells})
-    texts = pa.list_(pa.string())
-    return pa.RecordBatch.from_pylist(
-        out, pa.schema([("_doc", pa.string()), ("_pos", pa.int64()), ("cells", texts), ("_extra", texts)]))
+        if len(out) == ROWS_PER_BATCH:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+    yield pa.RecordBatch.from_pylist(out, schema)

@@ -157,3 +157,17 @@ def test_stream(spark, tmp_path):
     assert rows == {
         ("a.csv", "1", "x", None, ()), ("a.csv", "2", None, None, ()), ("a.csv", "3", None, None, ()),
         ("a.csv", None, None, None, ("4", "5", "6")), ("b.csv", "7", "y\nz", None, ()), ("c.csv", None, None, None, ("�", "8"))}
+
+
+def test_a_streamed_file_comes_in_batches():
+    from segtrans.sources.csv_records import ROWS_PER_BATCH, _file_rows
+
+    n = ROWS_PER_BATCH + 3
+    lines = ["\ufeff", " ", "t,id", *[f'"a\nb",{i}' for i in range(n)], "too,long,row", "", "last"]
+    batches = list(_file_rows("\n".join(lines).encode(), "f", ["id", "t", "none"]))
+    assert [b.num_rows for b in batches] == [ROWS_PER_BATCH, 5]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [r["cells"] for r in rows[:n]] == [[str(i), "a\nb", None] for i in range(n)]
+    assert [(r["cells"], r["_extra"]) for r in rows[n:]] == [(None, ["too", "long", "row"]), ([None, "last", None], None)]
+    assert [r["_pos"] for r in rows] == list(range(2, n + 4))
+    assert [b.num_rows for b in _file_rows(b"", "f", ["id"])] == [0]
