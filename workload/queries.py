@@ -255,9 +255,23 @@ def translate_runs(spark, sf):
     return run_plan.translate_runs(d.runs(spark, sf), "en", "tmg", dedup=True)
 
 
+def _texts(spark, sf):
+    return d.spread(d.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@d.stored
+def docx_plain(spark, sf):
+    return documents_as_docx(_texts(spark, sf))
+
+
+@d.stored
+def docx_with_tables(spark, sf):
+    return documents_as_docx(_texts(spark, sf), tables=True)
+
+
 def docx_roundtrip(spark, sf):
     """Documents to DOCX files, translated, and their paragraphs read again."""
-    files = documents_as_docx(d.table(spark, sf, "documents"))
+    files = docx_plain(spark, sf)
     paragraphs = run_plan.translated_paragraphs(
         docx_src.read_docx_runs(files), "en", "ne", dedup=True)
     done = docx_src.read_docx_runs(docx_src.patch_docx(files, paragraphs))
@@ -550,9 +564,8 @@ def csv_order(spark, sf):
 def docx_folder(spark, sf):
     """A folder of DOCX files with tables, one broken, and equal names in two folders."""
     work = new_work_dir(spark, "docx-folder")
-    docs = d.table(spark, sf, "documents")
     folder = F.when(F.col("doc_id") % 2 == 0, "x/").otherwise("y/")
-    files = documents_as_docx(docs, tables=True).withColumn("doc_id", F.col("path").cast("long"))
+    files = docx_with_tables(spark, sf).withColumn("doc_id", F.col("path").cast("long"))
     files = files.select(
         F.concat(folder, F.lit("doc "), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".docx")).alias("name"),
         F.when(F.col("doc_id") % 50 == 3, F.encode(F.lit("no archive"), "utf-8")).otherwise(F.col("content")).alias("content"))
