@@ -261,3 +261,18 @@ def test_report(spark, strings):
                     on_error="source", report=report)
     assert (report.calls, report.distinct_texts, report.failed) == (3, 3, 2) and report.seconds > 0
     assert {r.segment for r in report.failures.collect()} == {"abc", "abcd"}
+
+
+def test_a_lookup_of_many_short_texts_is_weighed_with_its_rows(spark):
+    """Texts of a few bytes take more memory as rows of a broadcast than as texts, once for every column in one task."""
+    def plan(n_columns, broadcast_bytes):
+        df = spark.range(300).selectExpr(*[f"cast(id as string) as c{i}" for i in range(n_columns)])
+        lookup = mem.translate_segments(with_pair(distinct_segments(df, ["c0"]), "en", "ne"), MockBackend())
+        out = mem.apply_lookup_columns(df, df.columns, lookup, broadcast_bytes=broadcast_bytes, hot_rows=10**9)
+        assert {tuple(r) for r in out.collect()} == {(f"[MOCK:ne] {i}",) * n_columns for i in range(300)}
+        return out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast"), lookup
+
+    joins, lookup = plan(2, 1 << 20)
+    assert joins == 2 and lookup.rows == 300
+    assert plan(2, lookup.bytes + 300)[0] == 0
+    assert plan(2, lookup.weight)[0] == 2 and plan(16, lookup.weight)[0] == 1  # of the cells of all columns together
