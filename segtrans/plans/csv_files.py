@@ -10,6 +10,7 @@ from ..functions.text import is_translatable
 from ..operators.backends import Backend, make_backend
 from ..operators.memory import TranslationMemory, apply_lookup
 from ..operators.segments import count_segments
+from ..session import PACKED, new_work_dir
 from ..sinks.csv import BOM, OUTPUT, quoted, write_csv_cells
 from ..sources.csv_records import (
     DOC, GOOD, NOT_UTF8, POS, UNCLOSED, fitted, is_header_like, names_of, read_csv_records, surplus,
@@ -19,6 +20,7 @@ from ..sources.files import (
 )
 from .tables import segment_lookup
 
+TABLE_BYTES = 16 << 20  # names and headers of all files, if they are to be broadcast
 NO_ROWS = "no rows"
 LONG_ROW = "a row longer than its header"
 BROKEN = {UNCLOSED: "a quote that is never closed", NOT_UTF8: "not UTF-8"}
@@ -33,6 +35,19 @@ def csv_tables(records: DataFrame) -> DataFrame:
         F.size("head.cells").alias("width"))
 
 
+def meeting(tables: DataFrame) -> DataFrame:
+    """A row per file as a written table, marked for how records are to meet it.
+
+    It is broadcast if all of it is small. Records never are: they pack well, and
+    what their files take says little of them.
+    """
+    spark, path = tables.sparkSession, new_work_dir(tables.sparkSession, "csv-tables")
+    tables.write.option("compression", PACKED).parquet(path)
+    tables = spark.read.schema(tables.schema).parquet(path)
+    size = F.sum(F.octet_length(F.to_json(F.struct(*tables.columns))))
+    return tables.hint("broadcast" if (tables.agg(size).first()[0] or 0) <= TABLE_BYTES else "merge")
+
+
 def translate_csv_files(
     spark: SparkSession,
     path,
@@ -77,17 +92,19 @@ def translate_csv_files(
     ends = good.agg(F.min("path").alias("least"), F.max("path").alias("most")).first()
     if ends.least is not None:
         records = read_csv_records(spark, path, multi_line=multi_line, max_bytes=max_bytes)
-        tables = csv_tables(records)
         output = relative_output(decoded_path(F.col(DOC)), common_folder([ends.least, ends.most]), ".csv", tgt)
+        # What is the same for all rows of a file is made once for it, below the join.
+        header = F.concat(F.lit(BOM), F.array_join(F.transform("names", quoted), ","))
+        tables = meeting(csv_tables(records).select(
+            "*", decoded_path(F.col(DOC)).alias("path"), output.alias(OUTPUT), header.alias("header")))
         rows = records.join(tables, DOC).where(F.col(POS) > F.col("head_pos")).select(
-            decoded_path(F.col(DOC)).alias("path"), output.alias(OUTPUT), POS, "names", "width", "cells", "head_problem",
+            "path", OUTPUT, POS, "header", "width", "cells", "head_problem",
             F.greatest("problem", "head_problem").alias("problem"),
             surplus(F.col("cells"), F.col("width")).alias("long"))
         kept = rows.where((F.col("problem") == GOOD) & ~F.col("long"))
         cells = kept.select(
-            OUTPUT, POS, "names", F.posexplode(fitted(F.col("cells"), F.col("width"))).alias("idx", "text"))
-        header = F.concat(F.lit(BOM), F.array_join(F.transform("names", quoted), ","))
-        cells = cells.select(OUTPUT, POS, "idx", "text", F.when(F.col("idx") == 0, header).alias("header"))
+            OUTPUT, POS, "header", F.posexplode(fitted(F.col("cells"), F.col("width"))).alias("idx", "text"))
+        cells = cells.select(OUTPUT, POS, "idx", "text", F.when(F.col("idx") == 0, F.col("header")).alias("header"))
         segments = count_segments(cells.select(F.col("text").alias("segment")).where(is_translatable("segment")))
         lookup = segment_lookup(segments, src, tgt, backend, unit, memory=memory, on_error=on_error, **run)
         write_csv_cells(apply_lookup(cells, "text", lookup), out_dir, mode)
@@ -108,7 +125,7 @@ def rejected_rows(rows: DataFrame) -> DataFrame:
 
 def rejected_headers(files: DataFrame, tables: DataFrame, rows: DataFrame) -> DataFrame:
     """``(path, reason, row)`` of the files without a row, or whose header cannot be read."""
-    heads = tables.select(decoded_path(F.col(DOC)).alias("path"), "head_problem", F.to_json("names").alias("row"))
+    heads = tables.select("path", "head_problem", F.to_json("names").alias("row"))
     filled = rows.select("path").distinct().withColumn("filled", F.lit(True))
     joined = files.select("path").join(heads, "path", "left").join(filled, "path", "left")
     reason = F.lit(None).cast("string")

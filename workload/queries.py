@@ -20,7 +20,7 @@ from segtrans.plans import layout as plan
 from segtrans.plans import runs as run_plan
 from segtrans.session import new_work_dir
 from segtrans.sinks.csv import write_csv_bom
-from segtrans.sinks.files import export_files
+from segtrans.sinks.files import export_files, export_lines
 from segtrans.sources import csv as csv_src
 from segtrans.sources import csv_records as csv_rec
 from segtrans.sources import docx as docx_src
@@ -545,20 +545,22 @@ def csv_order(spark, sf):
     """The place of each row in its output file: the order of the input is kept."""
     work = new_work_dir(spark, "csv-order")
     orders = d.table(spark, sf, "orders")
-    line = F.struct("o_orderkey", F.concat_ws(",", "o_orderkey", F.concat(F.lit('"'), "o_orderstatus", F.lit('\n"'))).alias("line"))
-    lines = F.transform(F.sort_array(F.collect_list(line)), lambda r: r["line"])
-    files = orders.groupBy((F.col("o_orderkey") % 5).cast("string").alias("n")).agg(
-        F.concat(F.lit("key,status\n"), F.array_join(lines, "\n")).alias("content"))
-    export_files(files.select(F.concat(F.lit("f"), "n", F.lit(".csv")).alias("name"), F.encode("content", "utf-8").alias("content")),
-                 f"{work}/in", "name")
+    line = F.concat_ws(",", "o_orderkey", F.concat(F.lit('"'), "o_orderstatus", F.lit('\n"')))
+    name = F.concat(F.lit("f"), (F.col("o_orderkey") % 5).cast("string"), F.lit(".csv"))
+    export_lines(orders.select(name.alias("name"), "o_orderkey", line.alias("line")), f"{work}/in", ["o_orderkey", "line"], "key,status")
     csv_files.translate_csv_files(spark, f"{work}/in", f"{work}/out", "en", "ne")
     records = csv_rec.read_csv_records(spark, f"{work}/out")
-    parts = csv_files.csv_tables(records).select(csv_rec.DOC, "head_pos")
+    parts = csv_files.meeting(csv_files.csv_tables(records).select(csv_rec.DOC, "head_pos"))
     rows = records.join(parts, csv_rec.DOC).where(F.col(csv_rec.POS) > F.col("head_pos"))
+    # An output file is many parts: the place in the part, and the rows of the parts before it.
     name = F.regexp_extract(file_src.decoded_path(F.col(csv_rec.DOC)), "_output=([^/]*)/", 1)
-    place = F.row_number().over(Window.partitionBy("name").orderBy(csv_rec.DOC, csv_rec.POS))
-    return rows.select(name.alias("name"), csv_rec.DOC, csv_rec.POS, F.get("cells", F.lit(0)).alias("cell")).select(
-        "name", "cell", place.alias("place"))
+    sizes = rows.groupBy(csv_rec.DOC).agg(F.count(F.lit(1)).alias("n")).select("*", name.alias("name"))
+    earlier = Window.partitionBy("name").orderBy(csv_rec.DOC).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(csv_rec.DOC, "name", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy(csv_rec.DOC).orderBy(csv_rec.POS))
+    placed = rows.select(csv_rec.DOC, F.get("cells", F.lit(0)).alias("cell"), local.alias("local"))
+    return placed.join(before, csv_rec.DOC, "left").select(
+        "name", "cell", (F.col("before") + F.col("local")).cast("int").alias("place"))
 
 
 def docx_folder(spark, sf):
