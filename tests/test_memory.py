@@ -276,3 +276,11 @@ def test_a_lookup_of_many_short_texts_is_weighed_with_its_rows(spark):
     assert joins == 2 and lookup.rows == 300
     assert plan(2, lookup.bytes + 300)[0] == 0
     assert plan(2, lookup.weight)[0] == 2 and plan(16, lookup.weight)[0] == 1  # of the cells of all columns together
+
+
+def test_a_lookup_beyond_the_limit_is_not_broadcast_for_its_packed_file(spark):
+    df = spark.range(3000).selectExpr("cast(id % 9 as string) as v")
+    lookup = mem.translate_segments(with_pair(distinct_segments(df, ["v"]), "en", "ne"), MockBackend())
+    out = mem.apply_lookup(df, "v", lookup, broadcast_bytes=0, hot_rows=10**9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
