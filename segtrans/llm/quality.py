@@ -82,35 +82,54 @@ def log_ratios(raw: list[int], good: list[int]) -> list[float]:
     return [round(math.log((g + PRIOR) / (r * scale + PRIOR)), 6) for g, r in zip(good, raw, strict=True)]
 
 
+def doubles(values: Iterable[float]) -> Column:
+    """An array of numbers, folded to one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<double>")
+
+
 def cross_fitted(docs: DataFrame, ids: DataFrame, raw: list[int], good: dict[str, list[int]]) -> DataFrame:
     """``(lang, near, far)``: two scores of every trusted document that passes the base rule, as a written table.
 
     The first is without the document's own counts in the target, as if it had no
     label; the second without those of its whole language, as if that had none.
     """
-    spark, buckets = docs.sparkSession, len(raw)
+    buckets = len(raw)
     target = [sum(g) for g in zip(*good.values(), strict=True)]
     total, size = float(sum(target)), float(max(1, sum(raw)))
-    mine = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), language(docs).alias("lang"), "text").join(
-        ids, F.col("doc_id") == F.col("trusted_id")
-    ).select("lang", "text", F.monotonically_increasing_id().alias("row")), "trusted")
-    grams = fenced(measured(mine, buckets)).where("not base_failed").select(
-        "doc.row", "doc.lang", F.size("grams").alias("size"), F.explode("grams").alias("bucket"))
-    own = grams.groupBy("row", "lang", "size", "bucket").agg(F.count(F.lit(1)).alias("own"))
-    sizes = {lang: float(sum(g)) for lang, g in good.items()}
-    table = spark.createDataFrame(
-        [(lang, b, float(target[b]), float(raw[b]), float(g[b]), sizes[lang])
-         for lang, g in good.items() for b in range(buckets) if g[b]],
-        "lang string, bucket int, target double, raw double, of_lang double, lang_size double")
-
-    def ratio(less: str, less_size: str) -> Column:
-        return F.sum(F.col("own") * F.log(
-            (F.col("target") - F.col(less) + PRIOR)
-            / (F.col("raw") * (F.lit(total) - F.col(less_size)) / size + PRIOR))) / F.first("size")
-
-    scores = own.join(F.broadcast(table), ["lang", "bucket"]).groupBy("row", "lang").agg(
-        ratio("own", "size").alias("near"), ratio("of_lang", "lang_size").alias("far"))
-    return written(scores.select("lang", "near", "far"), "fitted")
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language(docs).alias("lang"), "text").join(
+        ids, F.col("doc_id") == F.col("trusted_id")).select("lang", "text")
+    # The second score's ratios, language after language, so that one index finds them.
+    langs = sorted(good)
+    without = [(t - g + PRIOR) / (r * (total - sum(good[lang])) / size + PRIOR)
+               for lang in langs for t, r, g in zip(target, raw, good[lang], strict=True)]
+    begins = F.create_map(*(F.lit(x) for i, lang in enumerate(langs) for x in (lang, i * buckets)))
+    # All as if a bucket came once in the document; then, where it came again, its own count is what is amiss. Sorted,
+    # the n-grams of a bucket stand together, so that count is a run's length, and nothing is shuffled.
+    once = [math.log(t - 1 + PRIOR) for t in target]
+    targets, raws, once, ratios = (doubles(x) for x in (target, raw, once, map(math.log, without)))
+    share = (F.lit(total) - F.size("grams")) / F.lit(size)
+    rows = fenced(measured(mine, buckets)).where("not base_failed").select(
+        F.col("doc.lang").alias("lang"), F.element_at(begins, F.col("doc.lang")).alias("begin"),
+        share.alias("share"), "grams", F.sort_array("grams").alias("sorted"))
+    rows = rows.withColumn("again", F.filter("sorted", lambda b, i: b == F.get("sorted", i - 1)))
+
+    def closed(run: Column) -> Column:
+        """The sum with what a whole run adds."""
+        bucket, own = run["bucket"], run["own"]
+        return run["sum"] + own * (F.log(F.get(targets, bucket) - own + F.lit(PRIOR)) - F.get(once, bucket))
+
+    def run_of(bucket: Column, own: Column, so_far: Column) -> Column:
+        return F.struct(bucket.alias("bucket"), own.alias("own"), so_far.alias("sum"))
+
+    amiss = F.aggregate(
+        "again", run_of(F.get("again", F.lit(0)), F.lit(1.0), F.lit(0.0)),
+        lambda run, b: F.when(run["bucket"] == b, run_of(b, run["own"] + 1, run["sum"])).otherwise(
+            run_of(b, F.lit(2.0), closed(run))), closed)
+    near = F.coalesce(amiss, F.lit(0.0)) + F.aggregate(
+        "grams", F.lit(0.0), lambda s, b: s + F.get(once, b) - F.log(F.get(raws, b) * F.col("share") + F.lit(PRIOR)))
+    far = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(ratios, F.col("begin") + b))
+    n = F.size("grams")
+    return written(rows.select("lang", (near / n).alias("near"), (far / n).alias("far")), "fitted")
 
 
 def low_of(n: int, mean: float, spread: float, smallest: Callable[[int], float]) -> float:
@@ -265,9 +284,9 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = THRESHOL
     ids = trusted_ids(labels)
     raw, good = ngram_counts(docs, ids, buckets)
     ratios = log_ratios(raw, [sum(g) for g in zip(*good.values(), strict=True)] or [0] * buckets)
-    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")  # folded to one literal
+    table = doubles(ratios)
     cut = F.lit(threshold) if threshold is not None else derived_cut(docs, ids, raw, good)
-    total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.element_at(table, b + 1))
+    total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(table, b))
     scored = measured(docs, buckets).select(
         "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.size("grams").alias("n_grams"), F.when(F.size("grams") > 0, total / F.size("grams")).alias("score"))

@@ -192,6 +192,40 @@ def test_every_trusted_document_counts(spark):
     assert cuts == pytest.approx(plain) and others == pytest.approx(plain_others)
 
 
+def test_cross_fitted_scores_shuffle_no_ngrams(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(f"w{(i * k * k) % 89}" for k in range(60 + i % 7)), "en" if i % 3 else "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = quality.trusted_ids(docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    raw, good = quality.ngram_counts(docs, ids, 50)
+    raw = [r + 3 for r in raw]  # as if there were other documents
+    plans, write = [], quality.written
+    monkeypatch.setattr(quality, "written", lambda df, label: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+    got = sorted((r.lang, r.near, r.far) for r in quality.cross_fitted(docs, ids, raw, good).collect())
+    assert plans and not any("Exchange hashpartitioning" in p for p in plans)
+    target, size = [sum(x) for x in zip(*good.values())], sum(raw)
+    total, want = sum(target), []
+    for r in quality.fenced(quality.measured(docs, 50)).where("not base_failed").collect():
+        own, lang = collections.Counter(r.grams), good[r.doc.lang]
+
+        def score(less, total_less):
+            return sum(n * math.log((target[b] - less[b] + quality.PRIOR) / (raw[b] * (total - total_less) / size + quality.PRIOR))
+                       for b, n in own.items()) / len(r.grams)
+
+        want.append((r.doc.lang, score(own, len(r.grams)), score(lang, sum(lang))))
+    assert len(got) == len(want) > 40 and {lang for lang, _, _ in got} == {"en", "fr"}
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[0] == w[0] and g[1:] == pytest.approx(w[1:], abs=1e-9)
+
+
+def test_documents_out_of_a_join_are_judged(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id").distinct(), "doc_id")
+    assert quality.judge(docs, labels, threshold=None).count() == docs.count() > 0
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 5), (1000, 2000), (3000, 1 << 40), (3000, 1 << 63)):
