@@ -11,6 +11,8 @@ import numpy as np
 
 U64 = np.uint64
 ONE, SIX, WORD_BITS = U64(1), U64(6), U64(64)
+# Places of the set bits of each byte, eight to a byte.
+IN_BYTE = np.array([([at for at in range(8) if byte >> at & 1] + [0] * 8)[:8] for byte in range(256)], np.int64).reshape(-1)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -38,15 +40,15 @@ def _unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
 
 
 def _nth_set(word: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Place of the n-th (from 0) set bit of each word, by halving."""
+    """Place of the n-th (from 0) set bit of each word, by halving down to a byte."""
     word, n, at = word.copy(), n.astype(np.int64), np.zeros(len(word), np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
+    for half in (32, 16, 8):
         count = np.bitwise_count(word & ((ONE << U64(half)) - ONE)).astype(np.int64)
         up = n >= count
         n -= np.where(up, count, 0)
         at += np.where(up, half, 0)
         word >>= np.where(up, half, 0).astype(U64)
-    return at
+    return at + IN_BYTE[(word & U64(255)).astype(np.int64) << 3 | n]
 
 
 class EliasFano:

@@ -25,17 +25,19 @@ from urllib.parse import urlparse
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_work_dir
 from .elias_fano import EliasFano
-from .word_hashes import WordHashes, mixed
+from .word_hashes import mixed, split_hashes
 
 # Neither can be a word: words hold no space.
-END, BEGIN = b" end", b" begin"
+END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(mark)) for mark in (b" end", b" begin"))
 SHARD_TOKENS = 2_000_000  # training tokens to a shard of a level
 PART_TOKENS = 600_000  # tokens a task counts or scores at a time
+SPLIT_BYTES = 1 << 20  # of texts that are split at a time
 PRIOR2, PRIOR3 = 50.0, 10.0  # weight of the shorter context, in counts
 STEP = 1 / 24  # of a quantised log10 probability; a byte reaches down to 10**-10.6
 U64 = np.uint64
@@ -207,35 +209,58 @@ class Part:
     ends: np.ndarray  # of each text in the stream
 
 
-def parts(texts: Iterator[str], cache: WordHashes) -> Iterator[Part]:
+def marked_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as one stream of hashes, marks included, and the length of each."""
+    hashes, n = split_hashes(texts)
+    ends = np.cumsum(n + 2)
+    stream = np.empty(ends[-1], U64)
+    word = np.ones(len(stream), bool)
+    word[ends - 1] = word[ends - n - 2] = False
+    stream[word], stream[ends - 1], stream[ends - n - 2] = hashes, END, BEGIN
+    return stream, n + 2
+
+
+def parts(texts: Iterator[str]) -> Iterator[Part]:
     """The texts in order, about ``PART_TOKENS`` at a time, each whole."""
-    end, begin = cache[END], cache[BEGIN]
-    held, ends, n = [], [], 0
+    held, lengths, n = [], [], 0
 
     def part() -> Part:
         hashes, stream = np.unique(np.concatenate(held), return_inverse=True)
-        return Part(hashes, stream.astype(np.int64), np.array(ends, np.int64))
+        return Part(hashes, stream.astype(np.int64), np.cumsum(np.concatenate(lengths)))
 
-    for text in texts:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        held.append(np.concatenate([np.array([begin], U64), cache.of(words), np.array([end], U64)]))
-        n += len(words) + 2
-        ends.append(n)
+    for some in _some(texts):
+        stream, of_text = marked_hashes(some)
+        held.append(stream)
+        lengths.append(of_text)
+        n += len(stream)
         if n >= PART_TOKENS:
             yield part()
-            held, ends, n = [], [], 0
+            held, lengths, n = [], [], 0
     if held:
         yield part()
 
 
+def _some(texts: Iterator[str]) -> Iterator[list[bytes]]:
+    """The texts as bytes, A-Z in lower case, about ``SPLIT_BYTES`` at a time."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.encode("utf-8", "surrogatepass").lower())
+        size += len(some[-1]) + 1
+        if size >= SPLIT_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 class Ranked:
     """A part's words and bigrams looked up in the trie."""
 
-    def __init__(self, part: Part, reader: Reader, begin: int):
+    def __init__(self, part: Part, reader: Reader):
         trie = reader.trie
         stream = part.stream
         self.rank, self.count, self.before = reader.words(part.hashes)
-        is_begin = part.hashes == U64(begin)
+        is_begin = part.hashes == BEGIN
         self.rank[is_begin] = trie.vocabulary  # past all words; only ever a context
         self.before[is_begin], self.count[is_begin] = trie.tokens, trie.texts
         starts = np.zeros(len(stream), bool)
@@ -314,11 +339,9 @@ def _row(shard: int, n: int, tokens: int) -> pd.DataFrame:
 
 def count_words(shards: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        begin = U64(cache[BEGIN])
-        for part in parts(_texts(batches), cache):
+        for part in parts(_texts(batches)):
             counts = np.bincount(part.stream, minlength=len(part.hashes))
-            keep = part.hashes != begin
+            keep = part.hashes != BEGIN
             yield _blobs(part.hashes[keep], counts[keep], word_shard(part.hashes[keep], shards), [])
 
     return count
@@ -337,9 +360,9 @@ def build_words(path: str) -> Callable:
 
 def count_bigrams(trie: Trie, shards: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, reader = WordHashes(), Reader(trie)
-        for part in parts(_texts(batches), cache):
-            found = Ranked(part, reader, cache[BEGIN])
+        reader = Reader(trie)
+        for part in parts(_texts(batches)):
+            found = Ranked(part, reader)
             counts = np.bincount(found.of_pair, minlength=len(found.pair))
             shard = found.shards(found.pair_context, found.rank[found.pair_word], trie, shards)
             # What the probability needs: counts of the context and of the word.
@@ -373,9 +396,9 @@ def build_bigrams(path: str, trie: Trie) -> Callable:
 class Contexts:
     """A part's tokens with the index of the bigram they end and of the one they follow."""
 
-    def __init__(self, part: Part, reader: Reader, begin: int):
+    def __init__(self, part: Part, reader: Reader):
         trie = reader.trie
-        self.found = found = Ranked(part, reader, begin)
+        self.found = found = Ranked(part, reader)
         shard = found.shards(found.pair_context, found.rank[found.pair_word], trie, trie.bigrams.shards)
         index, count, code = reader.bigrams(found.pair, shard)
         n = len(found.tokens)
@@ -399,9 +422,9 @@ class Contexts:
 
 def count_trigrams(trie: Trie, shards: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, reader = WordHashes(), Reader(trie)
-        for part in parts(_texts(batches), cache):
-            found = Contexts(part, reader, cache[BEGIN])
+        reader = Reader(trie)
+        for part in parts(_texts(batches)):
+            found = Contexts(part, reader)
             counts = np.bincount(found.of_key, minlength=len(found.key))
             code, of_context = np.zeros(len(found.key), np.int64), np.zeros(len(found.key), np.int64)
             code[found.of_key] = found.code[found.full]
@@ -458,7 +481,7 @@ SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_scor
 
 def scorer(trie: Trie) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, reader = WordHashes(), Reader(trie)
+        reader = Reader(trie)
         ids: list = []
         held: list = []
 
@@ -469,8 +492,8 @@ def scorer(trie: Trie) -> Callable:
                 yield from _texts([batch])
 
         done = 0
-        for part in parts(texts(), cache):
-            found = Contexts(part, reader, cache[BEGIN])
+        for part in parts(texts()):
+            found = Contexts(part, reader)
             inner = found.found
             count = inner.count[inner.word]
             base = np.log10(unigram(count, trie))

@@ -8,6 +8,8 @@ import xxhash
 CACHED = 300_000  # words; a cache starts afresh beyond
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
+LONG = 1024  # bytes of a word
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class WordHashes(dict):
@@ -32,6 +34,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def split_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts, in order, and the number of words of each text.
+
+    Words are what ``bytes.split`` finds. All words take their next eight bytes
+    at once, so the passes are as many as the longest of them has such pieces;
+    the few beyond ``LONG`` bytes are hashed one by one.
+    """
+    data = b"\n" + b"\n".join(texts) + b"\n"
+    data += bytes(16 - len(data) % 8)
+    places, eights = np.frombuffer(data, np.uint8), np.frombuffer(data, "<u8")
+    places = places[:sum(map(len, texts)) + len(texts) + 1]
+    space = (places == 32) | (places - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, lengths = edges[0::2], edges[1::2] - edges[0::2]
+    hashes = mixed(lengths.astype(np.uint64) * BASE)
+    active, at, left = np.flatnonzero(lengths <= LONG), starts, lengths
+    at, left = at[active], left[active]
+    while len(active):
+        word, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        piece = eights[word] >> shift | eights[word + 1] << np.uint64(1) << np.uint64(63) - shift
+        hashes[active] = mixed(hashes[active] ^ piece & FIRST_BYTES[np.minimum(left, 8)])
+        more = left > 8
+        active, at, left = active[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(lengths > LONG):
+        hashes[i] = xxhash.xxh64_intdigest(data[starts[i]:starts[i] + lengths[i]])
+    ends = np.cumsum([len(text) + 1 for text in texts])
+    return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
 def runs(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of ``length`` words: a polynomial, then mixed."""
     n = len(hashes) - length + 1

@@ -226,6 +226,22 @@ def test_documents_out_of_a_join_are_judged(spark, sf):
     assert quality.judge(docs, labels, threshold=None).count() == docs.count() > 0
 
 
+def test_words_are_hashed_together():
+    from segtrans.llm.word_hashes import LONG, split_hashes
+
+    rng = np.random.default_rng(3)
+    texts = [b"", b" ", "\x1cé x\x85y\u3000z\0 \0\0 \0".encode(), b"a" * LONG + b" " + b"a" * (LONG + 1) + b"\t" + b"a" * (LONG + 2)]
+    texts += [bytes(rng.choice(list(b"ab \n\x0b\x0c\r\t"), n)) for n in range(60)]
+    texts += [b" ".join(b"w" * n for n in range(1, 40)), *(b"x" * n + b"y" for n in range(20)), b"z "]
+    hashes, n = split_hashes(texts)
+    split = [text.split() for text in texts]
+    assert n.tolist() == [len(words) for words in split]
+    words = [word for some in split for word in some]
+    assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+    alone = [split_hashes([b"-" * (i % 9) + b" " + word])[0][-1] for i, word in enumerate(words)]
+    assert alone == hashes.tolist()
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 5), (1000, 2000), (3000, 1 << 40), (3000, 1 << 63)):
