@@ -273,7 +273,7 @@ def docx_roundtrip(spark, sf):
     """Documents to DOCX files, translated, and their paragraphs read again."""
     files = docx_plain(spark, sf)
     paragraphs = run_plan.translated_paragraphs(
-        docx_src.read_docx_runs(files), "en", "ne", dedup=True)
+        docx_src.read_docx_runs(files), "en", "ne", dedup=True, changes_only=True)
     done = docx_src.read_docx_runs(docx_src.patch_docx(files, paragraphs))
     return run_ops.assemble_paragraphs(done).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "para_idx", "text")
